@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("labels",)
+_MODULES = ("labels", "features", "joins")
 
 
 def load():

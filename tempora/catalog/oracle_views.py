@@ -16,7 +16,7 @@ def _weather(prefix: str = "") -> str:
     return f"""s / n / 100.0::DOUBLE AS {prefix}temperature_2m, sk / n AS {prefix}relative_humidity_2m,
       (hi + 90000)::DOUBLE AS {prefix}surface_pressure, lo / 100.0::DOUBLE AS {prefix}wind_speed_10m,
       (su * 7 % 360)::DOUBLE AS {prefix}wind_direction_10m, s / 100.0::DOUBLE AS {prefix}precipitation,
-      least(100, n * 20)::DOUBLE AS {prefix}cloud_cover"""
+      CASE WHEN n IS NOT NULL THEN least(100, n * 20) END::DOUBLE AS {prefix}cloud_cover"""
 
 
 def _sums(where: str) -> str:
@@ -42,7 +42,7 @@ VIEWS: dict[str, str] = {
       CASE WHEN s % 13 <> 0 THEN lo / -100.0::DOUBLE END AS nwp_convective_inhibition,
       (5000 - s / n) / 1000.0::DOUBLE AS nwp_lifted_index, {_weather('nwp_')} FROM nwp_sums""",
     "scans": """SELECT event_type AS station_id, event_id AS gid, ts AS acq_end,
-      round(least(value / 600.0::DOUBLE, 1.0::DOUBLE), 4) AS cloudy, k % 4 AS cmk FROM ev WHERE event_id % 7 = 0""",
+      least(round(value * 100), 60000.0::DOUBLE) / 60000.0::DOUBLE AS cloudy, k % 4 AS cmk FROM ev WHERE event_id % 7 = 0""",
     "pixels": """SELECT c_mktsegment AS scan_id, c_custkey AS row, c_custkey % 100 AS col, 5 + (c_custkey * 37 % 2600) / 100.0::DOUBLE AS lat,
       70 + (c_custkey * 53 % 2000) / 100.0::DOUBLE AS lon, CASE WHEN c_custkey % 5 = 4 THEN 9 ELSE c_custkey % 5 END AS cls FROM customer""",
     "strikes": """SELECT p_partkey AS point_id, (['event', 'group', 'flash'])[p_size % 3 + 1] AS lightning_type,

@@ -155,7 +155,7 @@ def nwp(spark: SparkSession, path: str) -> DataFrame:
 
 def scans(spark: SparkSession, path: str) -> DataFrame:
     """Satellite scans: every seventh event, with an acquisition time and a cloudy share."""
-    share = F.least(F.col("value") / 600.0, F.lit(1.0))
+    share = F.least(F.round(F.col("value") * 100), F.lit(60000.0)) / 60000.0
     return (
         events(spark, path)
         .filter(F.col("event_id") % 7 == 0)
@@ -163,7 +163,7 @@ def scans(spark: SparkSession, path: str) -> DataFrame:
             F.col("event_type").alias("station_id"),
             F.col("event_id").alias("gid"),
             F.col("ts").alias("acq_end"),
-            F.round(share, 4).alias("cloudy"),
+            share.alias("cloudy"),
             (F.col("k") % 4).alias("cmk"),
         )
     )
