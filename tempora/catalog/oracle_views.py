@@ -122,4 +122,5 @@ def with_views(body: str) -> str:
                 needed.add(name)
                 todo.append(sql)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed)
-    return f"WITH {ctes}\n{body}" if ctes else body
+    inner = f"SELECT * FROM ({body})" if body.upper().startswith("WITH") else body
+    return f"WITH {ctes}\n{inner}" if ctes else body

@@ -1,59 +1,58 @@
 """Exact running sums, ranks and percentiles in value order, without one big ordered window.
 
-Equal values are collapsed first. The value range of each key is cut into slots and the slots into sub-slots, by a
-fixed rule that does not depend on partitioning. A running sum is then the sum inside the sub-slot plus the totals of
-the earlier sub-slots of its slot plus the totals of the earlier slots, and each of the three windows is small.
+Equal values are collapsed first. The number line is cut into leaves of 1e-5 relative width and the leaves into slots,
+by a fixed rule that depends on the value alone, so every run and every retry cuts alike. A running sum is then the
+sum inside the leaf plus the totals of the earlier leaves of its slot plus the totals of the earlier slots: three
+windows, none of which sees more than one leaf, the leaves of one slot, or the slots of one key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 1000
+LEAVES_PER_UNIT = 100_000
+LEAVES_PER_SLOT = 8192
 
 
 def value_groups(df: DataFrame, keys: Sequence[str], x: str, **sums) -> DataFrame:
-    """One row per key and distinct value with ``n`` rows and the named sums."""
+    """One row per key and distinct value with ``n`` rows and the named sums; unknown values are left out."""
     extra = [F.sum(c).alias(name) for name, c in sums.items()]
-    return df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("n"), *extra)
+    return df.filter(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(*keys, x).agg(F.count("*").alias("n"), *extra)
 
 
-def _before(order):
-    return order.rowsBetween(Window.unboundedPreceding, -1)
+def _leaf(x: Column) -> Column:
+    """Leaf number: rises with x, evenly on a logarithmic scale on both sides of zero."""
+    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * LEAVES_PER_UNIT)
 
 
-def running_sums(groups: DataFrame, keys: Sequence[str], x: str, names: Sequence[str], slots: int = SLOTS) -> DataFrame:
+def running_sums(groups: DataFrame, keys: Sequence[str], x: str, names: Sequence[str]) -> DataFrame:
     """Add ``<name>_upto`` (ascending in x, own row included) and ``<name>_all`` to rows that are unique per key and x."""
     keys = list(keys)
-    totals = groups.groupBy(*keys).agg(
-        F.min(x).alias("_lo"), F.max(x).alias("_hi"), *[F.sum(n).alias(f"{n}_all") for n in names]
-    )
-    rows = groups.join(totals, keys)
-    share = F.when(F.col("_hi") > F.col("_lo"), (F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    rows = rows.withColumn("_leaf", F.floor(share * (slots * slots))).drop("_lo", "_hi")
-
+    rows = groups.withColumn("_leaf", _leaf(F.col(x).cast("double")))
     leaves = (
         rows.groupBy(*keys, "_leaf")
         .agg(*[F.sum(n).alias(n) for n in names])
-        .withColumn("_slot", F.floor(F.col("_leaf") / slots))
+        .withColumn("_slot", F.floor(F.col("_leaf") / LEAVES_PER_SLOT))
     )
-    tops = leaves.groupBy(*keys, "_slot").agg(*[F.sum(n).alias(n) for n in names])
-    over_slots = _before(Window.partitionBy(*keys).orderBy("_slot"))
-    tops = tops.select(*keys, "_slot", *[F.coalesce(F.sum(n).over(over_slots), F.lit(0)).alias(f"_top_{n}") for n in names])
-    over_leaves = _before(Window.partitionBy(*keys, "_slot").orderBy("_leaf"))
-    starts = (
-        leaves.select(
-            *keys, "_slot", "_leaf", *[F.coalesce(F.sum(n).over(over_leaves), F.lit(0)).alias(f"_leaf_{n}") for n in names]
-        )
-        .join(tops, [*keys, "_slot"])
-        .select(*keys, "_leaf", *[(F.col(f"_leaf_{n}") + F.col(f"_top_{n}")).alias(f"_start_{n}") for n in names])
+    slots = leaves.groupBy(*keys, "_slot").agg(*[F.sum(n).alias(n) for n in names])
+    key_wide = Window.partitionBy(*keys)
+    before = key_wide.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(
+        *keys,
+        "_slot",
+        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_slot_{n}") for n in names],
+        *[F.sum(n).over(key_wide).alias(f"{n}_all") for n in names],
     )
+    before = Window.partitionBy(*keys, "_slot").orderBy("_leaf").rowsBetween(Window.unboundedPreceding, -1)
+    starts = leaves.select(
+        *keys, "_slot", "_leaf", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_leaf_{n}") for n in names]
+    ).join(slots, [*keys, "_slot"])
     inside = Window.partitionBy(*keys, "_leaf").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.select("*", *[F.sum(n).over(inside).alias(f"_in_{n}") for n in names]).join(starts, [*keys, "_leaf"])
-    upto = [(F.col(f"_in_{n}") + F.col(f"_start_{n}")).alias(f"{n}_upto") for n in names]
+    upto = [(F.col(f"_in_{n}") + F.col(f"_leaf_{n}") + F.col(f"_slot_{n}")).alias(f"{n}_upto") for n in names]
     return out.select(*groups.columns, *[f"{n}_all" for n in names], *upto)
 
 
