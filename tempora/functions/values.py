@@ -115,7 +115,19 @@ def reason_group(code: Column) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", value)
+    """One decimal, rounded on the exact binary value and to even on a true tie.
+
+    Twenty times the value is taken without error as a rounded sum and its remainder; an odd whole sum is a half of a
+    tenth, and the remainder then says on which side of it the value lies.
+    """
+    high, low = value * 16.0, value * 4.0
+    total = high + low
+    part = total - high
+    rest = (high - (total - part)) + (low - part)
+    tenths = F.floor((total + 1.0) / 2.0).cast("double")
+    half = total == 2.0 * tenths - 1.0
+    down = half & ((rest < 0) | ((rest == 0) & (F.pmod(tenths, F.lit(2.0)) == 1.0)))
+    return F.format_string("%.1f", F.when(down, tenths - 1.0).otherwise(tenths) / 10.0)
 
 
 def alert_label(flag: Column) -> Column:
@@ -139,7 +151,7 @@ def threshold_state(p: Column, threshold: float) -> Column:
 
 
 def percent_text(p: Column) -> Column:
-    return F.when(p.isNotNull(), F.format_string("%.1f", p * 100.0))
+    return F.when(p.isNotNull(), one_decimal(p * 100.0))
 
 
 def pressure_hpa(value: Column) -> Column:
@@ -149,7 +161,7 @@ def pressure_hpa(value: Column) -> Column:
 
 def display_value(value: Column) -> Column:
     """One decimal below 1000, none from there on, ``N/A`` for unknown."""
-    text = F.when(F.abs(value) < 1000, F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", value))
+    text = F.when(F.abs(value) < 1000, one_decimal(value)).otherwise(F.format_string("%.0f", F.rint(value)))
     return F.when(known(value).isNull(), "N/A").otherwise(text)
 
 

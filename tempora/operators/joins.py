@@ -113,8 +113,8 @@ def expected_slots(windows: DataFrame, start: str, end: str, minutes: Sequence[i
     quarter = 900
     first = F.ceil(F.unix_seconds(F.col(start)) / quarter)
     last = F.floor(F.unix_seconds(F.col(end)) / quarter)
-    steps = F.explode(F.when(last >= first, F.sequence(first, last)))
-    slots = windows.withColumn("slot", F.timestamp_seconds(steps * quarter))
+    steps = windows.withColumn("_step", F.explode(F.when(last >= first, F.sequence(first, last))))
+    slots = steps.withColumn("slot", F.timestamp_seconds(F.col("_step") * quarter)).drop("_step")
     return slots.filter(F.minute("slot").isin(*minutes))
 
 
