@@ -14,6 +14,7 @@ from tempora.operators import ordered as R
 from tempora.operators import profile as C
 from tempora.operators import splits as S
 from tempora.operators import targets as T
+from tempora.session import stage
 from tempora.sources import views as V
 
 KEY = ["station_id", "timestamp_utc"]
@@ -424,7 +425,7 @@ def targets_by_evidence(spark, path):
 def scan_distance_summary(spark, path):
     """Smallest, median and largest nearest-pixel distance per station over all scans."""
     wanted = {"min_km": 0.0, "median_km": 0.5, "max_km": 1.0}
-    return rounded(R.percentiles(scan_features_of(spark, path), ["station_id"], "distance_km", wanted), list(wanted), keep=["station_id"])
+    return rounded(R.percentiles(stage(scan_features_of(spark, path), "scan_features"), ["station_id"], "distance_km", wanted), list(wanted), keep=["station_id"])
 
 
 @query(

@@ -15,6 +15,8 @@ from tempora.operators import episodes as E
 from tempora.operators import joins as J
 from tempora.operators import profile as C
 from tempora.operators.series import with_previous
+from tempora.operators.targets import lead_targets
+from tempora.session import stage
 from tempora.sources import views as V
 
 KEY = ["station_id", "timestamp_utc"]
@@ -30,9 +32,11 @@ def cases_of(spark, path):
 
 
 def case_table_of(spark, path):
-    cases = cases_of(spark, path)
-    controls = E.find_controls(cases, targets_of(spark, path), V.WINDOW_START, V.WINDOW_END)
-    return E.case_table(cases, controls)
+    """Episodes and controls read the labels from one staged copy, so the reports are scanned once."""
+    labels = stage(labels_of(spark, path), "labels")
+    cases = stage(E.select_cases(E.episodes(labels)), "cases")
+    controls = E.find_controls(cases, lead_targets(labels), V.WINDOW_START, V.WINDOW_END)
+    return stage(E.case_table(cases, controls), "case_table")
 
 
 @query("episodes", "SELECT station_id, event_start, event_end, n_hours, duration_h FROM episodes")
@@ -116,9 +120,9 @@ _CASE_ROWS = f"""SELECT t.station_id, t.event_id, t.case_type, h.timestamp_utc,
   AND h.timestamp_utc BETWEEN t.window_start AND t.window_end JOIN alerts p ON p.station_id = h.station_id AND p.timestamp_utc = h.timestamp_utc"""
 
 
-def case_rows_of(spark, path):
+def case_rows_of(spark, path, table):
     hours = aligned_of(spark, path).select(*KEY, "cloudy").join(predictions_of(spark, path).select(*KEY, "p_1h", "target_1h"), KEY)
-    return J.within_windows(hours, case_table_of(spark, path), "timestamp_utc", "window_start", "window_end")
+    return J.within_windows(hours, table, "timestamp_utc", "window_start", "window_end")
 
 
 @query(
@@ -128,7 +132,8 @@ def case_rows_of(spark, path):
       count(*) FILTER (target_1h = 0) AS negative_hours, count(*) FILTER (target_1h IS NULL) AS unknown_hours FROM ({_CASE_ROWS}) GROUP BY ALL""",
 )
 def case_summary(spark, path):
-    out = E.case_summary(case_table_of(spark, path), case_rows_of(spark, path))
+    table = case_table_of(spark, path)
+    out = E.case_summary(table, case_rows_of(spark, path, table))
     return out.withColumns({c: F.round(c, 6) for c in ("mean_cloudy", "min_cloudy", "max_cloudy")})
 
 

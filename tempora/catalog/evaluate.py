@@ -22,12 +22,8 @@ TARGETS = ["target_1h", "target_2h", "target_3h"]
 
 def scores_only(spark, path):
     """Probabilities and status of every station-hour, from whole-number sums; no target is read."""
-    events = V.events(spark, path)
-    even = V._hourly_sums(events.filter(F.col("user_id") % 2 == 0))
-    odd = V._hourly_sums(events.filter((F.col("user_id") % 2 == 1) & (F.col("ts") >= F.lit(V.MODEL_START))))
-    a = even.select(*KEY, F.col("s").alias("a_s"), F.col("sk").alias("a_sk"))
-    b = odd.select(*KEY, F.col("s").alias("b_s"), F.col("sk").alias("b_sk"))
-    joined = V.spine(spark).join(a, KEY, "left").join(b, KEY, "left")
+    sums = V.hourly_sums(V.events(spark, path), a_=V.measured(), b_=V.modelled())
+    joined = V.spine(spark).join(sums, KEY, "left")
     reason = values.first_failure([(F.col("a_s").isNull(), "insufficient_history"), (F.col("b_s").isNull(), "missing_required_nwp")])
     return joined.select(
         *KEY,

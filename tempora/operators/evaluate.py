@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions.values import alert, ratio, ratio_or_zero, verdict
 from tempora.operators.ordered import running_sums
+from tempora.session import stage
 
 POOLED = "ALL"
 
@@ -125,9 +126,12 @@ def ranking(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def metrics(scores: DataFrame, keys: Sequence[str], scope: str | None = "station_id", threshold: Column | float = THRESHOLD) -> DataFrame:
-    """Confusion, rates and ranking skill, pooled and per scope value in one table."""
+    """Confusion, rates and ranking skill, pooled and per scope value in one table.
+
+    The score groups are read by several aggregates, so they are staged once.
+    """
     by = [*keys, scope] if scope else list(keys)
-    groups = score_groups(scores, keys, scope)
+    groups = stage(score_groups(scores, keys, scope), "score_groups")
     return rates(confusion(groups, by, threshold)).join(ranking(groups, by), by)
 
 
@@ -161,6 +165,7 @@ def choose_threshold(table: DataFrame, keys: Sequence[str], cap: float = ALERT_R
     A key without any threshold inside the cap keeps its row with an unknown threshold.
     """
     inside = F.col("alert_rate") <= cap
+    table = stage(table, "sweep")
     best = table.groupBy(*keys).agg(
         F.max(F.when(inside, F.col("fbeta"))).alias("best"),
         F.count("*").alias("candidates"),

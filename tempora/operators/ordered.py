@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.session import stage
+
 LEAVES_PER_UNIT = 100_000
 LEAVES_PER_SLOT = 8192
 
@@ -29,8 +31,12 @@ def _leaf(x: Column) -> Column:
 
 
 def running_sums(groups: DataFrame, keys: Sequence[str], x: str, names: Sequence[str]) -> DataFrame:
-    """Add ``<name>_upto`` (ascending in x, own row included) and ``<name>_all`` to rows that are unique per key and x."""
+    """Add ``<name>_upto`` (ascending in x, own row included) and ``<name>_all`` to rows that are unique per key and x.
+
+    The groups are read three times below, so they are staged once instead of being computed again from their source.
+    """
     keys = list(keys)
+    groups = stage(groups, "value_groups")
     rows = groups.withColumn("_leaf", _leaf(F.col(x).cast("double")))
     leaves = (
         rows.groupBy(*keys, "_leaf")

@@ -108,17 +108,33 @@ def bodies(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("metar", F.concat(F.upper("station_id"), F.lit(" "), stamp, F.lit("Z "), body))
 
 
-def _hourly_sums(df: DataFrame) -> DataFrame:
-    """Whole-number sums per station and hour, so that no result depends on the order of addition."""
+def hourly_sums(df: DataFrame, **parts: Column) -> DataFrame:
+    """Whole-number sums per station and hour and per named part of the events, all from one pass.
+
+    Whole numbers make the result independent of the order of addition.
+    """
     cents = F.round(F.col("value") * 100).cast("bigint")
-    return df.groupBy(F.col("event_type").alias("station_id"), clock.hour_of(F.col("ts")).alias("timestamp_utc")).agg(
-        F.count("*").alias("n"),
-        F.sum(cents).alias("s"),
-        F.min(cents).alias("lo"),
-        F.max(cents).alias("hi"),
-        F.sum(F.col("k").cast("bigint")).alias("sk"),
-        F.sum("user_id").alias("su"),
-    )
+    columns = []
+    for name, part in parts.items():
+        columns += [
+            F.count_if(part).alias(f"{name}n"),
+            F.sum(F.when(part, cents)).alias(f"{name}s"),
+            F.min(F.when(part, cents)).alias(f"{name}lo"),
+            F.max(F.when(part, cents)).alias(f"{name}hi"),
+            F.sum(F.when(part, F.col("k").cast("bigint"))).alias(f"{name}sk"),
+            F.sum(F.when(part, F.col("user_id"))).alias(f"{name}su"),
+        ]
+    return df.groupBy(F.col("event_type").alias("station_id"), clock.hour_of(F.col("ts")).alias("timestamp_utc")).agg(*columns)
+
+
+def measured() -> Column:
+    """Events that count as measurements."""
+    return F.col("user_id") % 2 == 0
+
+
+def modelled() -> Column:
+    """Events that count as forecast-model values."""
+    return (F.col("user_id") % 2 == 1) & (F.col("ts") >= F.lit(MODEL_START))
 
 
 def _weather(prefix: str = "") -> list[Column]:
@@ -136,21 +152,21 @@ def _weather(prefix: str = "") -> list[Column]:
 
 def atmos(spark: SparkSession, path: str) -> DataFrame:
     """Hourly predictors on the full calendar; hours without a measurement are unknown."""
-    even = events(spark, path).filter(F.col("user_id") % 2 == 0)
-    values = _hourly_sums(even).select("station_id", "timestamp_utc", *_weather())
+    even = events(spark, path).filter(measured())
+    values = hourly_sums(even, **{"": F.lit(True)}).select("station_id", "timestamp_utc", *_weather())
     return spine(spark).join(values, ["station_id", "timestamp_utc"], "left")
 
 
 def nwp(spark: SparkSession, path: str) -> DataFrame:
     """Forecast-model table: only hours that the model covers have a row."""
-    odd = events(spark, path).filter((F.col("user_id") % 2 == 1) & (F.col("ts") >= F.lit(MODEL_START)))
+    odd = events(spark, path).filter(modelled())
     n, s, lo = F.col("n"), F.col("s"), F.col("lo")
     indices = [
         F.when(s % 11 != 0, s / 10.0).alias("nwp_cape"),
         F.when(s % 13 != 0, lo / -100.0).alias("nwp_convective_inhibition"),
         ((5000 - s / n) / 1000.0).alias("nwp_lifted_index"),
     ]
-    return _hourly_sums(odd).select("station_id", "timestamp_utc", *indices, *_weather("nwp_"))
+    return hourly_sums(odd, **{"": F.lit(True)}).select("station_id", "timestamp_utc", *indices, *_weather("nwp_"))
 
 
 def scans(spark: SparkSession, path: str) -> DataFrame:
