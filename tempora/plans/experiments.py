@@ -1,12 +1,167 @@
-"""Split tables for experiments."""
+"""Class-balanced forests per lead, with the decision threshold locked on the validation part."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempora.contracts import guard_features
+from tempora.functions.values import all_known
+from tempora.operators import evaluate as E
+from tempora.operators.quality import union
+from tempora.operators.splits import with_split
+from tempora.session import stage
+
+KEY = ["station_id", "timestamp_utc"]
+
+# Forest size and seed.
+TREES = 200
+DEPTH = 12
+SEED = 42
+
+
+def complete_cases(table: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """Keys, targets and features of rows with every feature known, split by unique hours and staged for all fits."""
+    guard_features(table, features)
+    rows = table.filter(all_known([F.col(c) for c in features])).select(*KEY, *targets, *features)
+    return stage(with_split(rows), "experiment")
+
+
+def labelled(table: DataFrame, target: str) -> DataFrame:
+    return table.filter(F.col(target).isNotNull()).withColumn("y", F.col(target).cast("int"))
+
+
+def balanced(train: DataFrame) -> DataFrame:
+    """Weight n / (2 n_class), so that both classes weigh the same."""
+    sizes = train.agg(F.struct(F.count("*").alias("n"), F.sum("y").alias("pos"))).scalar()
+    size = F.when(F.col("y") == 1, sizes["pos"]).otherwise(sizes["n"] - sizes["pos"])
+    return train.withColumn("weight", sizes["n"] / (size * 2.0))
+
+
+def forest(features: Sequence[str], trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Pipeline:
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+    model = RandomForestClassifier(
+        featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, impurity="gini",
+        featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=False,
+    )
+    return Pipeline(stages=[assembler, model])
+
+
+def fit(train: DataFrame, features: Sequence[str], **options) -> PipelineModel:
+    weighted = balanced(train).select(*features, F.col("y").cast("double").alias("y"), "weight")
+    return forest(features, **options).fit(weighted)
+
+
+def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Rows with the probability ``p`` of the event."""
+    out = model.transform(rows)
+    return out.withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def score_leads(models: dict[int, PipelineModel], requests: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Fail-closed scores of all leads: only COMPLETE rows reach the models, the rest keep unknown probabilities."""
+    complete = F.col("data_status") == "COMPLETE"
+    out = requests.filter(complete)
+    for lead, model in models.items():
+        out = score(model, out).withColumnRenamed("p", f"p_{lead}h")
+    unknown = [F.lit(None).cast("double").alias(f"p_{lead}h") for lead in models]
+    return out.unionByName(requests.filter(~complete).select("*", *unknown)).drop(*features)
+
+
+def lock_threshold(validation: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Threshold per key from validation scores alone."""
+    return E.choose_threshold(E.sweep(E.score_groups(validation, keys), keys), keys).select(*keys, F.col("threshold").alias("limit"))
+
+
+def judge(scores: DataFrame, keys: Sequence[str], scope: str | None = None) -> DataFrame:
+    """Lock the threshold on validation, then measure it once per split; optionally also per station."""
+    locked = lock_threshold(scores.filter(F.col("split") == "validation"), keys)
+    rows = scores.join(locked, list(keys))
+    by = [*keys, "split", "limit"]
+    return E.metrics(rows, by, scope, F.col("limit"))
+
+
+def fit_and_score(table: DataFrame, features: Sequence[str], target: str, name: Column, train_filter: Column | None = None, **options) -> DataFrame:
+    """Train on the train part, score validation and test; ``name`` marks the experiment."""
+    rows = labelled(table, target)
+    train = rows.filter(F.col("split") == "train")
+    if train_filter is not None:
+        train = train.filter(train_filter)
+    model = fit(train, features, **options)
+    scored = score(model, rows.filter(F.col("split") != "train"))
+    return scored.select(name.alias("experiment"), F.lit(target).alias("lead"), "split", *KEY, "p", "y")
+
+
+def compare_feature_sets(table: DataFrame, sets: dict[str, Sequence[str]], targets: Sequence[str], **options) -> DataFrame:
+    """The same rows and splits for every feature set and lead, so that the metrics differ by the features alone."""
+    everything = sorted({f for names in sets.values() for f in names})
+    rows = complete_cases(table, everything, targets)
+    parts = [fit_and_score(rows, names, t, F.lit(n), **options) for n, names in sets.items() for t in targets]
+    return judge(stage(union(parts), "scores"), ["experiment", "lead"])
+
 
 def leave_one_out(df: DataFrame, held_out: str) -> DataFrame:
     """Train and validation rows of the other stations, test rows of the held-out station."""
     held = F.col("station_id") == held_out
     return df.filter(F.when(F.col("split") == "test", held).otherwise(~held))
+
+
+def leave_one_station_out(table: DataFrame, features: Sequence[str], targets: Sequence[str], stations: Sequence[str], **options) -> DataFrame:
+    """One fit per held-out station and lead; the threshold comes from the other stations."""
+    rows = complete_cases(table, features, targets)
+    parts = [fit_and_score(leave_one_out(rows, s), features, t, F.lit(s), **options) for s in stations for t in targets]
+    return judge(stage(union(parts), "held_out_scores"), ["experiment", "lead"])
+
+
+def impurity_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
+    """Feature importances of the fitted forest, as a small table."""
+    values = model.stages[-1].featureImportances.toArray()
+    rows = [(f, float(v)) for f, v in zip(features, values)]
+    return SparkSession.active().createDataFrame(rows, "feature string, importance double")
+
+
+def shuffled(rows: DataFrame, column: str, seed: int) -> DataFrame:
+    """One column permuted among the rows: values in one random order are given to rows in another.
+
+    Both orders number their rows by hash buckets, so the permutation is the same on any cluster size.
+    """
+    buckets = 1 << 20
+
+    def numbered(df: DataFrame, salt: str) -> DataFrame:
+        digest = F.xxhash64(*KEY, F.lit(f"{salt}-{seed}"))
+        placed = df.withColumns({"_d": digest, "_b": F.pmod(digest, F.lit(buckets))})
+        sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+        before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        inside = Window.partitionBy("_b").orderBy("_d", *KEY)
+        located = placed.withColumn("_in", F.row_number().over(inside)).join(starts, "_b")
+        return located.withColumn("_place", F.col("_in") + F.col("_start")).drop("_d", "_b", "_in", "_start")
+
+    values = numbered(rows.select(*KEY, column), "values").select("_place", column)
+    return numbered(rows.drop(column), "rows").join(values, "_place").drop("_place")
+
+
+def permutation_importance(model: PipelineModel, validation: DataFrame, features: Sequence[str], repeats: int = 5) -> DataFrame:
+    """Mean and spread of the loss in average precision when one feature is permuted."""
+    parts = [score(model, validation).select(F.lit("").alias("feature"), F.lit(-1).alias("repeat"), "p", "y")]
+    for feature in features:
+        for r in range(repeats):
+            changed = score(model, shuffled(validation, feature, r))
+            parts.append(changed.select(F.lit(feature).alias("feature"), F.lit(r).alias("repeat"), "p", "y"))
+    scores = stage(union(parts), "permuted")
+    keys = ["feature", "repeat"]
+    skill = stage(E.ranking(E.score_groups(scores, keys), keys), "permuted_skill")
+    whole = skill.filter(F.col("repeat") == -1).select("pr_auc").scalar()
+    loss = skill.filter(F.col("repeat") >= 0).withColumn("loss", whole - F.col("pr_auc"))
+    return loss.groupBy("feature").agg(F.avg("loss").alias("importance_mean"), F.stddev_pop("loss").alias("importance_std"))
+
+
+def round_trip(model: PipelineModel, path: str) -> PipelineModel:
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)

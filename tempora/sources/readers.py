@@ -47,11 +47,8 @@ def write_text_csv(df: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Parquet, one directory per partition value and few files in each."""
-    out = df
-    if partition_by:
-        # rows of one partition value spread over several tasks, so that a hot value is no single writer
-        out = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+    """Parquet, one directory per partition value; rebalancing joins small pieces and splits a hot value over many writers."""
+    out = df.hint("rebalance", *partition_by) if partition_by else df
     writer = out.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
