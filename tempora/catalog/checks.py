@@ -134,10 +134,10 @@ def display_values(spark, path):
 _SIGNALS = ["temperature_2m", "relative_humidity_2m", "surface_pressure", "wind_speed_10m", "precipitation", "cloud_cover", "nwp_cape", "nwp_convective_inhibition", "nwp_lifted_index"]
 
 
-@query("signals", f"SELECT station_id, timestamp_utc, {', '.join(f'round({c}, 6) AS {c}' for c in _SIGNALS)} FROM atmos LEFT JOIN nwp USING (station_id, timestamp_utc)")
+@query("signals", f"SELECT station_id, timestamp_utc, {', '.join(_SIGNALS)} FROM atmos LEFT JOIN nwp USING (station_id, timestamp_utc)")
 def signals(spark, path):
     joined = V.atmos(spark, path).join(V.nwp(spark, path), KEY, "left")
-    return joined.select(*KEY, *[F.round(values.known(F.col(c)), 6).alias(c) for c in _SIGNALS])
+    return joined.select(*KEY, *[values.known(F.col(c)).alias(c) for c in _SIGNALS])
 
 
 # predicates -----------------------------------------------------------------------------------------------------

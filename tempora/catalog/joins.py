@@ -41,7 +41,7 @@ def hourly_report_counts(spark, path):
     return hourly_counts(first_reports(with_flags(V.reports(spark, path)))).drop("n_station_reports")
 
 
-_MODEL_LIST = ", ".join(f"round({c}, 6) AS {c}" for c in V.ATMOSPHERE + V.MODEL)
+_MODEL_LIST = ", ".join(V.ATMOSPHERE + V.MODEL)
 
 
 @query(
@@ -50,16 +50,16 @@ _MODEL_LIST = ", ".join(f"round({c}, 6) AS {c}" for c in V.ATMOSPHERE + V.MODEL)
       JOIN nwp USING (station_id, timestamp_utc)""",
 )
 def feature_target_model_overlap(spark, path):
-    return rounded(overlap_of(spark, path), V.ATMOSPHERE + V.MODEL, keep=[*KEY, "target_1h", "target_2h", "target_3h"])
+    return overlap_of(spark, path).select(*KEY, "target_1h", "target_2h", "target_3h", *V.ATMOSPHERE, *V.MODEL)
 
 
 @query(
     "feature_target_rows",
-    "SELECT station_id, timestamp_utc, round(temperature_2m, 6) AS temperature_2m, target, target_1h FROM atmos JOIN targets USING (station_id, timestamp_utc)",
+    "SELECT station_id, timestamp_utc, temperature_2m, target, target_1h FROM atmos JOIN targets USING (station_id, timestamp_utc)",
 )
 def feature_target_rows(spark, path):
     out = V.atmos(spark, path).join(targets_of(spark, path), KEY)
-    return out.select(*KEY, F.round("temperature_2m", 6).alias("temperature_2m"), "target", "target_1h")
+    return out.select(*KEY, "temperature_2m", "target", "target_1h")
 
 
 @query(
@@ -85,12 +85,12 @@ def feature_model_join_audit(spark, path):
     return J.join_audit(V.atmos(spark, path).filter(F.col("temperature_2m").isNotNull()), V.nwp(spark, path))
 
 
-_ALIGNED_SQL = "SELECT station_id, timestamp_utc, acq_end, gid, cloudy, cmk, sat_available, round(age_minutes, 6) AS age_minutes FROM aligned"
+_ALIGNED_SQL = "SELECT station_id, timestamp_utc, acq_end, gid, cloudy, cmk, sat_available, age_minutes FROM aligned"
 
 
 @query("asof_90min", _ALIGNED_SQL)
 def asof_90min(spark, path):
-    return aligned_of(spark, path).withColumn("age_minutes", F.round("age_minutes", 6))
+    return aligned_of(spark, path)
 
 
 @query(
