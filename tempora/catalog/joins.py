@@ -250,9 +250,7 @@ def scan_station_features(spark, path):
 )
 def nearest_pixel_any_distance(spark, path):
     valid = V.pixels(spark, path).filter(geo.is_valid_class(F.col("cls")))
-    scans = valid.select("scan_id").distinct().withColumn("_w", F.lit(1))
-    where = V.stations(spark).select("station_id", "latitude", "longitude", F.lit(1).alias("_w"))
-    anchors = scans.join(where, "_w").drop("_w")
+    anchors = J.with_every(valid.select("scan_id").distinct(), V.stations(spark), ["station_id", "latitude", "longitude"])
     return P.nearest(valid, anchors, ["scan_id"], ["row"], ["row", "col"]).withColumn("distance_km", F.round("distance_km", 6))
 
 

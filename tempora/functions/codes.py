@@ -10,9 +10,13 @@ TREND_MARKERS = ("TEMPO", "BECMG", "NOSIG", "RMK", r"PROB\d{2}", "EMPO", "TMPO")
 PRESSURE_GROUP = r"\bQ\d{4}\b"
 TEMPERATURE_GROUP = r"\bM?\d{2}/M?\d{2}\b"
 FORECAST_PRODUCT = r"^\S+\s+\d{6}Z\s+\d{6}\s"
+SEPARATOR = r"[/\s]"
 SEPARATORS = r"[/\s]+"
-STATION_EVENT = r"^[+-]*TS"
-VICINITY_EVENT = r"^[+-]*VC[+-]*TS"
+TOKEN_CHARACTER = r"[^/\s]"
+EVENT = "[+-]*TS"
+VICINITY = "[+-]*VC[+-]*TS"
+STATION_EVENT = f"^{EVENT}"
+VICINITY_EVENT = f"^{VICINITY}"
 NO_CODE = "M"
 
 
@@ -26,7 +30,8 @@ def tokens(codes: Column) -> Column:
 
 
 def has_code(codes: Column) -> Column:
-    return F.size(tokens(codes)) > 0
+    """At least one token; one pattern on the text instead of building the tokens."""
+    return F.coalesce(codes.rlike(TOKEN_CHARACTER) & (F.upper(F.trim(codes)) != NO_CODE), F.lit(False))
 
 
 def token_class(token: Column) -> Column:
@@ -37,16 +42,21 @@ def token_class(token: Column) -> Column:
     )
 
 
+def _has_token(codes: Column, *starts: str) -> Column:
+    """Some token begins with one of the patterns."""
+    return F.coalesce(codes.rlike(rf"(?i)(?:^|{SEPARATOR})(?:{'|'.join(starts)})"), F.lit(False))
+
+
 def station_event(codes: Column) -> Column:
-    return F.exists(tokens(codes), lambda t: token_class(t) == "ts")
+    return _has_token(codes, EVENT)
 
 
 def vicinity_event(codes: Column) -> Column:
-    return F.exists(tokens(codes), lambda t: token_class(t) == "vcts")
+    return _has_token(codes, VICINITY)
 
 
 def any_event(codes: Column) -> Column:
-    return F.exists(tokens(codes), lambda t: token_class(t) != "other")
+    return _has_token(codes, EVENT, VICINITY)
 
 
 def observed_part(body: Column) -> Column:
@@ -57,9 +67,7 @@ def observed_part(body: Column) -> Column:
 
 def body_event(body: Column) -> Column:
     """An event seen in the observed part: leading digits are dropped, recent weather is skipped."""
-    words = F.split(F.upper(observed_part(body)), SEPARATORS)
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^\d+", ""))
-    return F.exists(bare, lambda w: w.rlike(STATION_EVENT) | w.rlike(VICINITY_EVENT))
+    return _has_token(observed_part(body), rf"\d*{EVENT}", rf"\d*{VICINITY}")
 
 
 def has_pressure(body: Column) -> Column:

@@ -145,6 +145,12 @@ def snapshot(spine: DataFrame, predictions: DataFrame, values: Sequence[str]) ->
     return spine.join(complete, KEY, "left").withColumn("data_status", F.coalesce("data_status", F.lit("UNAVAILABLE")))
 
 
+def with_every(df: DataFrame, dimension: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each row beside every row of a small dimension, which travels as one array value and is unrolled in place."""
+    items = dimension.agg(F.collect_list(F.struct(*columns))).scalar()
+    return df.withColumn("_item", F.explode(items)).select(*df.columns, "_item.*")
+
+
 def guarded_dimension(df: DataFrame, dim: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
     """Attach a dimension value, and report row growth, unknown values and non-constant values in one row."""
     joined = df.join(dim.select(key, value), key, "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import geo
 from tempora.functions.values import ratio
+from tempora.operators.joins import with_every
 
 # No place of a one-degree cell is farther than this from the middle of the cell.
 CELL_REACH_KM = geo.EARTH_KM * radians(0.5) * 2**0.5 * 1.001
@@ -76,7 +77,9 @@ def nearest(points: DataFrame, anchors: DataFrame, group: Sequence[str], payload
     cells = with_cell(points).groupBy(*group, "_clat", "_clon").agg(F.lit(1).alias("_one")).drop("_one")
     middle = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("_clat") + 0.5, F.col("_clon") + 0.5)
     ids = [*group, "station_id"]
-    reach = anchors.join(cells, list(group)).withColumn("_d", middle) if group else _pair_all(anchors, cells).withColumn("_d", middle)
+    # without groups there is one world of at most 64,800 cells
+    pairs = anchors.join(cells, list(group)) if group else with_every(anchors, cells, ["_clat", "_clon"])
+    reach = pairs.withColumn("_d", middle)
     best = reach.groupBy(*ids).agg(F.min("_d").alias("_best"))
     wanted = reach.join(best, ids).filter(F.col("_d") - F.col("_best") <= 2 * CELL_REACH_KM).drop("_d", "_best")
     near = with_cell(points).join(wanted, [*group, "_clat", "_clon"]).withColumn("distance_km", distance())
@@ -84,11 +87,6 @@ def nearest(points: DataFrame, anchors: DataFrame, group: Sequence[str], payload
     return near.groupBy(*ids).agg(F.min_by(F.struct("distance_km", *payload), pick).alias("_n")).select(*ids, "_n.*")
 
 
-def _pair_all(anchors: DataFrame, cells: DataFrame) -> DataFrame:
-    # one world of at most 64,800 cells against the anchors, joined on a constant
-    return anchors.withColumn("_w", F.lit(1)).join(cells.withColumn("_w", F.lit(1)), "_w").drop("_w")
-
-
 def scan_features(pixels: DataFrame, anchors: DataFrame, radius_km: float = 25.0, box_deg: float = 1.0) -> DataFrame:
     """Per scan and station: nearest valid pixel in the box (any distance when the box is empty) and
     the valid, cloudy and clear share within the radius; shares are unknown when no pixel is near."""
@@ -112,7 +110,7 @@ def scan_features(pixels: DataFrame, anchors: DataFrame, radius_km: float = 25.0
     )
     local = local.select(*ids, "_n.*", "valid_pixels", "_cloudy", "_clear")
     scans = pixels.select("scan_id").distinct()
-    grid = scans.withColumn("_w", F.lit(1)).join(where.withColumn("_w", F.lit(1)), "_w").drop("_w")
+    grid = with_every(scans, where, where.columns)
     empty = grid.join(local.select(*ids), ids, "left_anti")
     far = nearest(valid, empty, ["scan_id"], ["row", "col", "cls"], ["row", "col"])
     zero = F.lit(0).cast("bigint")
