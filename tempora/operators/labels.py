@@ -63,7 +63,7 @@ def hourly_labels(reports: DataFrame, spine: DataFrame, evidence: str = "codes")
     ``evidence`` says what makes an hour observed: ``codes`` needs a report with a decodable code, ``reports`` any report.
     """
     counts = ["n_reports", "n_reports_with_wx", "n_ts_reports", "n_station_reports"]
-    facts = hourly_counts(first_reports(with_flags(reports)))
+    facts = hourly_counts(first_reports(with_flags(reports).drop("wxcodes")))
     grid = fill_on_spine(spine, facts.drop("any_event"), KEY, counts)
     observed = F.col("n_reports_with_wx" if evidence == "codes" else "n_reports") > 0
     return grid.withColumn("target", tri_state(observed, F.col("n_ts_reports") > 0)).withColumns(
@@ -84,7 +84,8 @@ def label_variants(bodies: DataFrame, spine: DataFrame) -> DataFrame:
     kept = keep_first(flagged.filter(~F.col("non_observation")), ["station_id", "valid_minute"], ["metar", "report_id"])
     event = F.col("ts_station") | F.col("ts_vicinity")
     hour = hour_of(F.col("valid_minute")).alias("timestamp_utc")
-    facts = kept.groupBy("station_id", hour).agg(
+    # one row per code first: counts add up, and the distinct codes of an hour come from the same pass
+    per_code = kept.groupBy("station_id", hour, "wxcodes").agg(
         F.count("*").alias("n_reports"),
         F.count_if("full").alias("n_reports_full_decode"),
         F.count_if("decodable").alias("n_reports_with_wx"),
@@ -92,9 +93,9 @@ def label_variants(bodies: DataFrame, spine: DataFrame) -> DataFrame:
         F.count_if("ts_station").alias("n_station_reports"),
         F.count_if(F.col("recovered") & ~event).alias("n_recovered"),
     )
-    names = [c for c in facts.columns if c not in KEY]
+    names = [c for c in per_code.columns if c not in (*KEY, "wxcodes")]
+    facts = per_code.groupBy(*KEY).agg(*[F.sum(n).alias(n) for n in names], _joined_codes().alias("wxcodes_observed"))
     grid = fill_on_spine(spine, facts, KEY, names)
-    grid = grid.join(observed_codes(kept), KEY, "left")
     observed = F.col("n_reports") > 0
     primary = tri_state(observed, F.col("n_ts_reports") > 0)
     return grid.select(
@@ -111,16 +112,17 @@ def label_variants(bodies: DataFrame, spine: DataFrame) -> DataFrame:
     )
 
 
-def observed_codes(reports: DataFrame) -> DataFrame:
-    """Sorted distinct codes of each hour as one text; empty and no-code texts are left out.
+def _joined_codes() -> Column:
+    """Sorted codes of a group as one text, over rows in which each code comes once; empty and no-code texts are left out."""
+    useful = F.when(~F.col("wxcodes").isin("", codes.NO_CODE), F.col("wxcodes"))
+    return F.array_join(F.array_sort(F.collect_list(useful)), " | ")
 
-    Repeats are removed by a first aggregate, so the collected set holds each code once.
-    """
+
+def observed_codes(reports: DataFrame) -> DataFrame:
+    """Sorted distinct codes of each hour that has any; repeats are removed by a first aggregate."""
     hour = hour_of(F.col("valid_minute")).alias("timestamp_utc")
-    useful = ~F.coalesce("wxcodes", F.lit("")).isin("", codes.NO_CODE)
-    distinct = reports.filter(useful).groupBy("station_id", hour, "wxcodes").agg(F.lit(1).alias("_one"))
-    joined = F.array_join(F.array_sort(F.collect_list("wxcodes")), " | ").alias("wxcodes_observed")
-    return distinct.groupBy(*KEY).agg(joined)
+    distinct = reports.select("station_id", hour, "wxcodes").distinct()
+    return distinct.groupBy(*KEY).agg(_joined_codes().alias("wxcodes_observed")).filter(F.col("wxcodes_observed") != "")
 
 
 def synchronize(predictors: DataFrame, labels: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def build(master: str | None = None, name: str = "tempora", **conf: str) -> Spar
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a private one only where it is unset."""
     context = spark.sparkContext
-    root = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
