@@ -67,7 +67,7 @@ def test_clocks(spark):
     df = spark.range(1)
     row = df.select(
         clock.tai93_to_utc(F.lit(35.0)),
-        clock.file_stamp(F.lit("3RIMG_31DEC2025_2345_L2B_CMK_V01R00.h5")),
+        clock.file_stamp(F.lit("SCAN_31DEC2025_2345_L2B.h5")),
         clock.acquisition_stamp(F.lit("14-JUN-2025T14:15:19")),
         clock.file_stamp(F.lit("nothing here")),
         clock.normal_stamp(F.lit("2023-06-15T12:00")),
