@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import language
+from tempora.llm import language, quality
 from tempora.llm.common import read
 
 
@@ -15,5 +15,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
-PLANS = {f.__name__: f for f in (op10_language,)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    trusted = quality.trusted_documents(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    scored = quality.score(docs, quality.fit(trusted), "doc_id", "lang")
+    return scored.select("row.doc_id", "row.lang", "perplexity", "worst_perplexity", "keep")
+
+
+PLANS = {f.__name__: f for f in (op9_quality, op10_language)}
 CHECKS: dict[str, str] = {}

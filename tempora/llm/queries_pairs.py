@@ -1,4 +1,16 @@
 """op4 Jaccard join and op8 vectors."""
 
-PLANS = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tempora.llm import jaccard
+from tempora.llm.common import read
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+PLANS = {f.__name__: f for f in (op4_jaccard,)}
 CHECKS: dict[str, str] = {}
