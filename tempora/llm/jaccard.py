@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ascii_lower, components, when_small
+from tempora.llm.common import ascii_lower, components, fingerprint, when_small
 from tempora.session import stage
 
 SHINGLE = 5
@@ -160,7 +160,7 @@ def _halves(digest: bytes) -> tuple[int, int]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, cls, check, n, s0..): one row per document; cls and check are halves of the digest, null without words."""
+    """(doc_id, print, cls, check, n, s0..): one row per document; cls and check are halves of the digest, null without words."""
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, raw, ends in _steps(batch):
@@ -171,9 +171,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 check.append(b)
                 sizes.append(len(shingles))
                 bits.append(sketch(shingles))
-            columns = [ids.slice(lo, hi - lo), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(sizes, pa.int64())]
+            columns = [ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(sizes, pa.int64())]
             columns += [pa.array(c, pa.int64()) for c in np.array(bits).T]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cls", "check", "n", *_SKETCH])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "cls", "check", "n", *_SKETCH])
 
 
 _SKETCH = [f"s{i}" for i in range(SKETCH)]
@@ -233,15 +233,16 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, text_print.
 
     Null, empty and blank texts have no set and are alone. Equal sets of words are one class and linked. Null ids are
     linked but never name a component unless all its ids are null. Rows that repeat get equal results. An empty table
     gives no rows. Links have no cap.
     """
     slim = docs.select(F.col("doc_id").cast("long"), "text")
+    described = slim.select("doc_id", "text", fingerprint(F.col("text")).alias("print"))
     kinds = ", ".join(f"{s} long" for s in _SKETCH)
-    described = stage(slim.mapInArrow(_describe, f"doc_id long, cls long, check long, n long, {kinds}"), "sets")
+    described = stage(described.mapInArrow(_describe, f"doc_id long, print long, cls long, check long, n long, {kinds}"), "sets")
     agree = F.when(F.min("check") == F.max("check"), F.min("doc_id")).otherwise(
         F.raise_error(F.lit("two texts share half a digest; use wider class ids"))
     )
@@ -301,9 +302,9 @@ def link(docs: DataFrame) -> DataFrame:
     named = named.select("cls", "first_id", F.coalesce("comp", "cls").alias("comp"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = stage(named.join(names, "comp").select("cls", "component_id"), "names")
-    return described.join(named, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = described.join(named, "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("print").alias("text_print"))
 
 
 def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

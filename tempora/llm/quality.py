@@ -29,7 +29,7 @@ MODEL_GRAMS = 2_000_000
 #: Share of a document's words that count as its worst.
 WORST = 0.02
 #: Quantiles of trusted documents above which a document is rejected.
-MEAN_QUANTILE, WORST_QUANTILE = 0.995, 0.98
+MEAN_QUANTILE, WORST_QUANTILE = 0.995, 0.985
 #: Entries of a task's tables before they are handed on or emptied; bounds memory only.
 TABLE = 300_000
 #: The language that stands for a missing or untrained one.

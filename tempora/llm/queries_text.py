@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import decontaminate, lines, packing, sharding
+from tempora.llm import chat, decontaminate, lines, packing, pages, sharding
 from tempora.llm.common import read
 
 
@@ -32,5 +32,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PLANS = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_packing, op5_sharding)}
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pages.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url")
+    return done.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+#: What a user's turn asks of the assistant, as a tool.
+REPLY = {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}}, "additionalProperties": False}
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return chat.link(chat.exchanges(turns), {"reply": REPLY})
+
+
+PLANS = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_packing, op5_sharding, op6_pages, op7_chat)}
 CHECKS: dict[str, str] = {}
