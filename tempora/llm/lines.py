@@ -79,9 +79,10 @@ def dedup_lines(docs: DataFrame, long_words: int = LONG_LINE_WORDS, mean_lines:
     met = chunked(met, long_words, mean_lines)
     left = F.filter("_chunks", lambda c, i: ~F.array_contains(F.col("_drop"), i))
     joined = F.array_join(F.transform(left, lambda c: c["text"]), "\n")
-    return met.select(
-        "row",
+    # a generated row: a filter on these columns is not pushed into the chunking, where it would be worked out per line
+    made = F.struct(
         F.when(F.size("_drop") > 0, joined).otherwise(F.col("text")).alias("new_text"),
         F.size("_chunks").alias("n_chunks"),
         F.size("_drop").alias("n_removed"),
     )
+    return met.select("row", F.inline_outer(F.array(made)))
