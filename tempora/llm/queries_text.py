@@ -10,6 +10,9 @@ from tempora.llm import chat, decontaminate, lines, packing, pages, sharding
 from tempora.llm.common import read
 
 
+RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -22,7 +25,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), RANKS)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
