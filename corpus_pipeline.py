@@ -10,6 +10,8 @@ from tempora.llm import decontaminate, jaccard, lines, packing, quality
 from tempora.llm.common import fingerprint, read, ready, when_small
 from tempora.session import scratch_path, stage
 
+RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
 def _key(doc_id: Column) -> Column:
     """A document's id, with null as a value that joins."""
@@ -55,7 +57,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 1024 tokens."""
-    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), RANKS)
 
 
 STAGES = [
