@@ -59,7 +59,9 @@ def repeats(docs: DataFrame, long_words: int, mean_lines: int) -> DataFrame:
     # grouping by the body compares bytes; a hash that two bodies share makes two groups
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "print", "at")
     first = again.groupBy("hash", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    joined = again.join(first.select("hash", F.col("body").alias("same"), "first"), "hash").filter("body = same")
+    # written, so that a chunk with very many copies meets it in a join that Spark can split
+    first = stage(first.select("hash", F.col("body").alias("same"), "first"), "first_chunks")
+    joined = again.join(first, "hash").filter("body = same")
     later = joined.filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("id", "print").agg(F.array_sort(F.collect_set("at")).alias("drop"))
 
