@@ -258,15 +258,6 @@ def link(docs: DataFrame) -> DataFrame:
     found = classes.join(ids, "cls", "left_semi")
     found = stage(found, "candidates")
 
-    # the words of each candidate class, read from one of its documents
-    owner = found.select("cls", F.col("first_id").alias("id"))
-    words = F.array_join(F.array_remove(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), ""), " ")
-    owners = stage(owner, "owners")
-    having = slim.join(when_small(owners, 32), F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
-    # ids may repeat with other texts: the digest tells whose words these are
-    having = having.mapInArrow(_own_words, "cls long, text string").select("cls", words.alias("words"))
-    texts = stage(having.groupBy("cls").agg(F.min("words").alias("words")), "words")
-
     info = found.select("cls", "n", *_SKETCH)
     links = None
     labels = found.select(F.col("cls").alias("node"), F.col("cls").alias("comp"))
@@ -275,6 +266,8 @@ def link(docs: DataFrame) -> DataFrame:
         if turn != "smallest":
             spread = marked.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
             marked = stage(marked.join(spread.select("sig"), "sig", "left_semi"), "apart")
+            if marked.isEmpty():
+                break
         if turn == "smallest":
             pairs = marked.filter("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b"))
         elif turn == "picked":
@@ -292,7 +285,8 @@ def link(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(info.select(F.col("cls").alias("a"), F.struct("*").alias("x")), "a")
             pairs = pairs.join(info.select(F.col("cls").alias("b"), F.struct("*").alias("y")), "b").filter(_near("x", "y"))
             pairs = pairs.select("a", "b")
-        new = stage(_verify(stage(pairs, "pairs"), texts), "links")
+        pairs = stage(pairs, "pairs")
+        new = stage(_verify(pairs, _words_of(pairs, found, slim)), "links")
         links = new if links is None else links.union(new)
         grouped = components(links)
         labels = found.select(F.col("cls").alias("node")).join(grouped, "node", "left")
@@ -307,6 +301,18 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("print").alias("text_print"))
 
 
+def _words_of(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, words) of the classes in ``pairs``, read from one document of each."""
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    owners = found.select("cls", F.col("first_id").alias("id")).join(asked, "cls", "left_semi")
+    owners = when_small(stage(owners, "owners"), 32)
+    words = F.array_join(F.array_remove(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), ""), " ")
+    having = docs.join(owners, F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
+    # ids may repeat with other texts: the digest tells whose words these are
+    having = having.mapInArrow(_own_words, "cls long, text string").select("cls", words.alias("words"))
+    return stage(having.groupBy("cls").agg(F.min("words").alias("words")), "words")
+
+
 def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose text has the digest of their class."""
     for batch in batches:
