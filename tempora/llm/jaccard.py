@@ -8,7 +8,7 @@ the one-deletion neighbourhoods of its segments (a segment of two or more then c
 not enough its single shingles. m is the number of segments with the least expected cost.
 
 Equal subsets make candidates, not links. Candidates pass a length bound and a parity bound (a sketch of shingle
-parities differs in no more bits than the sets differ in shingles) and are then verified on the words themselves. In a
+parities differs in no more bits than the sets differ in shingles; large sets have a wide one) and are then verified on the words themselves. In a
 group that shares a subset not all pairs are listed: sets are first held against the group's smallest member, then
 against one that the subset's hash picks, and pairs are listed only between components that are still apart.
 """
@@ -31,6 +31,8 @@ from tempora.session import stage
 SHINGLE = 5
 #: Longs of the parity sketch.
 SKETCH = 16
+#: Sets above this size have a wide sketch as well.
+WIDE = 1000
 #: Shingles per segment, for the largest sets of a band, that the allocation chooses from.
 LOADS = (1.6, 1.8, 2.0, 2.2, 2.4, 2.6, 2.8)
 STEP_BYTES = 1 << 20
@@ -144,6 +146,30 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(shingles: np.ndarray) -> bytes | None:
+    """The same for a set that would fill the small sketch: as many buckets as the next power of two of its size."""
+    if len(shingles) <= WIDE:
+        return None
+    size = 1 << len(shingles).bit_length()
+    bits = np.bincount((_mix(shingles + np.uint64(2)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Differing parities of two wide sketches, the longer one folded to the length of the shorter."""
+    short, long = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)
+    return int(np.bitwise_count(short ^ folded).sum())
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, limit, x, y) the pairs whose wide sketches, if both have one, stay within the limit."""
+    for batch in batches:
+        limits, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        mask = [p is None or q is None or 7 * _apart(p, q) <= limit for limit, p, q in zip(limits, x, y, strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(mask, pa.bool_()))
+
+
 def _steps(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     texts = batch.column(1).fill_null("").cast(pa.large_string())
     ends = np.cumsum(pa.compute.binary_length(texts).to_numpy()).astype(np.int64)
@@ -164,16 +190,18 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, raw, ends in _steps(batch):
-            cls, check, sizes, bits = [], [], [], []
+            cls, check, sizes, bits, wide = [], [], [], [], []
             for shingles, digest in shingle_sets(raw, ends):
                 a, b = _halves(digest) if digest else (None, None)
                 cls.append(a)
                 check.append(b)
                 sizes.append(len(shingles))
                 bits.append(sketch(shingles))
+                wide.append(wide_sketch(shingles))
             columns = [ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(sizes, pa.int64())]
             columns += [pa.array(c, pa.int64()) for c in np.array(bits).T]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "cls", "check", "n", *_SKETCH])
+            columns.append(pa.array(wide, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "cls", "check", "n", *_SKETCH, "wide"])
 
 
 _SKETCH = [f"s{i}" for i in range(SKETCH)]
@@ -242,12 +270,12 @@ def link(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long"), "text")
     described = slim.select("doc_id", "text", fingerprint(F.col("text")).alias("print"))
     kinds = ", ".join(f"{s} long" for s in _SKETCH)
-    described = stage(described.mapInArrow(_describe, f"doc_id long, print long, cls long, check long, n long, {kinds}"), "sets")
+    described = stage(described.mapInArrow(_describe, f"doc_id long, print long, cls long, check long, n long, {kinds}, wide binary"), "sets")
     agree = F.when(F.min("check") == F.max("check"), F.min("doc_id")).otherwise(
         F.raise_error(F.lit("two texts share half a digest; use wider class ids"))
     )
     classes = described.filter("cls is not null").groupBy("cls").agg(
-        agree.alias("first_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in _SKETCH]
+        agree.alias("first_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in _SKETCH], F.max("wide").alias("wide")
     )
     classes = stage(classes, "classes")
     by_sig = Window.partitionBy("sig")
@@ -285,7 +313,11 @@ def link(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(info.select(F.col("cls").alias("a"), F.struct("*").alias("x")), "a")
             pairs = pairs.join(info.select(F.col("cls").alias("b"), F.struct("*").alias("y")), "b").filter(_near("x", "y"))
             pairs = pairs.select("a", "b")
-        pairs = stage(pairs, "pairs")
+        wide = found.select("cls", "n", "wide")
+        pairs = pairs.join(wide.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x")), "a")
+        pairs = pairs.join(wide.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y")), "b")
+        pairs = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("limit"), "x", "y")
+        pairs = stage(pairs.mapInArrow(_screen, "a long, b long"), "pairs")
         new = stage(_verify(pairs, _words_of(pairs, found, slim)), "links")
         links = new if links is None else links.union(new)
         grouped = components(links)
