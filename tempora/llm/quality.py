@@ -127,40 +127,48 @@ def probabilities(raw: DataFrame, order: int) -> DataFrame:
     return lower.join(backs, ["lang", "gram"], "full")
 
 
-class Scores:
-    """Word scores under one language's table, each worked out once."""
+class Scores(dict):
+    """Word scores under one language's table, each worked out once: a word's place in the columns of costs."""
 
     def __init__(self, table: dict[str, tuple[float, float]], order: int):
-        self.table, self.order, self.words = table, order, {}
-
-    def word(self, word: str) -> tuple[float, int]:
-        """Surprisal of the word in nats and its number of characters, the closing space included."""
-        found = self.words.get(word)
-        if found is None:
-            padded = f" {normal(word)} "
-            total = 0.0
-            for i in range(1, len(padded)):
-                gram, weight = padded[max(0, i - self.order + 1) : i + 1], 1.0
-                while True:
-                    p = self.table.get(gram, (None, None))[0]
-                    if p is not None or not gram:
-                        break
-                    weight *= self.table.get(gram[:-1], (None, 1.0))[1] or 1.0
-                    gram = gram[1:]
-                total -= math.log(max(weight * (p or 1e-6), 1e-12))
-            found = total, len(padded) - 1
-            if len(word) <= 64:
-                if len(self.words) > TABLE:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        super().__init__()
+        self.table, self.order = table, order
+        self.cost, self.size = np.zeros(1024), np.zeros(1024)
+        self.n = 0
+
+    def surprisal(self, word: str) -> tuple[float, int]:
+        """In nats, and the number of characters, the closing space included."""
+        padded = f" {normal(word)} "
+        total = 0.0
+        for i in range(1, len(padded)):
+            gram, weight = padded[max(0, i - self.order + 1) : i + 1], 1.0
+            while True:
+                p = self.table.get(gram, (None, None))[0]
+                if p is not None or not gram:
+                    break
+                weight *= self.table.get(gram[:-1], (None, 1.0))[1] or 1.0
+                gram = gram[1:]
+            total -= math.log(max(weight * (p or 1e-6), 1e-12))
+        return total, len(padded) - 1
+
+    def __missing__(self, word: str) -> int:
+        if self.n == len(self.cost):
+            self.cost, self.size = (np.concatenate([x, np.zeros(len(x))]) for x in (self.cost, self.size))
+        self.cost[self.n], self.size[self.n] = self.surprisal(word)
+        self[word] = self.n
+        self.n += 1
+        return self.n - 1
 
     def text(self, text: str) -> tuple[float, float] | None:
         """(mean, mean of the worst words) of surprisal per character; None without words."""
         words = text.split()
         if not words:
             return None
-        cost, size = np.array([self.word(w) for w in words]).T
+        if self.n > TABLE:
+            self.clear()
+            self.n = 0
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        cost, size = self.cost[at], self.size[at]
         k = max(1, round(WORST * len(words)))
         rate = cost / size
         return float(cost.sum() / size.sum()), float(np.partition(rate, len(rate) - k)[-k:].mean())
