@@ -101,9 +101,8 @@ def ranking_skill(spark, path):
     return rounded(E.ranking(groups, ["lead", "station_id"]), ["roc_auc", "pr_auc"], 9, ["lead", "station_id"])
 
 
-_SWEEP = """SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / greatest(precision + recall, 1e-12) ELSE 0 END AS f1,
-  CASE WHEN 4 * precision + recall > 0 THEN 5 * precision * recall / greatest(4 * precision + recall, 1e-12) ELSE 0 END AS fbeta FROM
-  (SELECT lead, p AS threshold, tp::BIGINT AS tp, (taken - tp)::BIGINT AS fp, tp / taken AS precision, CASE WHEN np > 0 THEN tp / np ELSE 0 END AS recall, taken / n AS alert_rate FROM
+_SWEEP = """(SELECT lead, p AS threshold, tp::BIGINT AS tp, (taken - tp)::BIGINT AS fp, tp / taken AS precision, CASE WHEN np > 0 THEN tp / np ELSE 0 END AS recall, taken / n AS alert_rate,
+    2 * tp / (taken + np) AS f1, 5 * tp / (taken + 4 * np) AS fbeta FROM
     (SELECT lead, p, sum(sum(y)) OVER w AS tp, sum(count(*)) OVER w AS taken, sum(sum(y)) OVER (PARTITION BY lead) AS np, sum(count(*)) OVER (PARTITION BY lead) AS n
      FROM scored GROUP BY lead, p WINDOW w AS (PARTITION BY lead ORDER BY p DESC)))"""
 

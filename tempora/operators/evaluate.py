@@ -141,7 +141,7 @@ def sweep(groups: DataFrame, keys: Sequence[str], beta: float = BETA) -> DataFra
     tp = F.col("pos_all") - F.col("pos_upto") + F.col("pos")
     taken = F.col("n_all") - F.col("n_upto") + F.col("n")
     square = beta * beta
-    out = cum.select(
+    return cum.select(
         *keys,
         F.col("p").alias("threshold"),
         tp.alias("tp"),
@@ -149,13 +149,8 @@ def sweep(groups: DataFrame, keys: Sequence[str], beta: float = BETA) -> DataFra
         ratio_or_zero(tp, taken).alias("precision"),
         ratio_or_zero(tp, F.col("pos_all")).alias("recall"),
         (taken / F.col("n_all")).alias("alert_rate"),
-    )
-    p, r = F.col("precision"), F.col("recall")
-    return out.withColumns(
-        {
-            "f1": F.when(p + r > 0, 2 * p * r / F.greatest(p + r, F.lit(1e-12))).otherwise(0.0),
-            "fbeta": F.when(square * p + r > 0, (1 + square) * p * r / F.greatest(square * p + r, F.lit(1e-12))).otherwise(0.0),
-        }
+        ratio_or_zero(2 * tp, taken + F.col("pos_all")).alias("f1"),
+        ratio_or_zero((1 + square) * tp, taken + square * F.col("pos_all")).alias("fbeta"),
     )
 
 

@@ -24,6 +24,11 @@ def _wrap(cell: Column) -> Column:
     return F.pmod(cell + 180, F.lit(360)) - 180
 
 
+def turn(degrees_apart: Column) -> Column:
+    """A difference of longitudes the short way round."""
+    return F.pmod(degrees_apart + 180, F.lit(360.0)) - 180
+
+
 def with_cell(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     return df.withColumns({"_clat": _cell(F.col(lat)), "_clon": _wrap(_cell(F.col(lon)))})
 
@@ -43,8 +48,11 @@ def distance(lat: str = "lat", lon: str = "lon") -> Column:
 def points_within(points: DataFrame, anchors: DataFrame, radius_km: float) -> DataFrame:
     """Points within the radius of an anchor, with ``distance_km``."""
     reach = degrees(radius_km / geo.EARTH_KM) * 1.0001
-    edge = F.least(F.lit(89.0), F.abs(F.col("latitude")) + reach)
-    near = with_cell(points).join(cover(anchors, F.lit(reach), F.lit(reach) / F.cos(F.radians(edge))), ["_clat", "_clon"])
+    # a circle that holds a pole meets every meridian
+    latitude = F.abs(F.col("latitude"))
+    side = F.degrees(F.asin(F.sin(F.radians(F.lit(reach))) / F.cos(F.radians(latitude)))) * 1.0001
+    wide = F.when(latitude + reach >= 90, F.lit(180.0)).otherwise(side)
+    near = with_cell(points).join(cover(anchors, F.lit(reach), wide), ["_clat", "_clon"])
     return near.withColumn("distance_km", distance()).filter(F.col("distance_km") <= radius_km).drop("_clat", "_clon")
 
 
@@ -96,7 +104,7 @@ def scan_features(pixels: DataFrame, anchors: DataFrame, radius_km: float = 25.0
     boxed = (
         with_cell(valid)
         .join(cover(where, F.lit(box_deg), F.lit(box_deg)), ["_clat", "_clon"])
-        .filter((F.abs(F.col("lat") - F.col("latitude")) <= box_deg) & (F.abs(F.col("lon") - F.col("longitude")) <= box_deg))
+        .filter((F.abs(F.col("lat") - F.col("latitude")) <= box_deg) & (F.abs(turn(F.col("lon") - F.col("longitude"))) <= box_deg))
         .withColumn("distance_km", distance())
     )
     in_reach = F.col("distance_km") <= radius_km

@@ -84,6 +84,16 @@ def test_radius_join_matches_brute_force(spark):
         assert got == want and want
 
 
+def test_radius_join_at_the_pole_and_the_date_line(spark):
+    anchors = [("pole", 89.5, 0.0), ("line", 10.0, 179.95), ("south", -89.9, 120.0)]
+    points = [(i, la, lo) for i, (la, lo) in enumerate([(89.5, 180.0), (89.0, -90.0), (88.0, 0.0), (10.0, -179.95), (10.2, 179.0), (-89.8, -60.0), (-88.0, 120.0)])]
+    p = spark.createDataFrame(points, "point_id int, lat double, lon double")
+    a = spark.createDataFrame(anchors, "station_id string, latitude double, longitude double")
+    got = set(rows(P.points_within(p, a, 150.0).select("station_id", "point_id")))
+    assert got == {(s, i) for s, la, lo in anchors for i, x, y in points if brute_distance(la, lo, x, y) <= 150.0}
+    assert ("pole", 0) in got and ("line", 3) in got
+
+
 def test_nearest_matches_brute_force(spark):
     points = points_list(150)
     p = spark.createDataFrame(points, "point_id int, lat double, lon double").withColumn("g", F.col("point_id") % 2)
