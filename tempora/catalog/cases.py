@@ -35,7 +35,7 @@ def case_table_of(spark, path):
     """Episodes and controls read the labels from one staged copy, so the reports are scanned once."""
     labels = stage(labels_of(spark, path), "labels")
     cases = stage(E.select_cases(E.episodes(labels)), "cases")
-    controls = E.find_controls(cases, lead_targets(labels), V.WINDOW_START, V.WINDOW_END)
+    controls = E.find_controls(cases, lead_targets(labels), V.first_hour(spark, path), V.last_hour(spark, path))
     return stage(E.case_table(cases, controls), "case_table")
 
 
@@ -66,7 +66,7 @@ _CONTROLS = f"""SELECT station_id, replace(event_id, '_TS_', '_CTL_') AS control
 
 @query("case_controls", f"SELECT * FROM ({_CONTROLS})")
 def case_controls(spark, path):
-    return E.find_controls(cases_of(spark, path), targets_of(spark, path), V.WINDOW_START, V.WINDOW_END)
+    return E.find_controls(cases_of(spark, path), targets_of(spark, path), V.first_hour(spark, path), V.last_hour(spark, path))
 
 
 _TABLE = f"""SELECT *, event_start - INTERVAL 2 HOUR AS window_start, event_end + INTERVAL 2 HOUR AS window_end FROM
@@ -184,7 +184,7 @@ def satellite_model_difference(spark, path):
 
 _RUNS = """SELECT station_id, min(timestamp_utc) AS run_start, max(timestamp_utc) AS feature_hour, count(*) AS run_hours FROM (SELECT station_id, timestamp_utc,
   timestamp_utc - to_hours(row_number() OVER (PARTITION BY station_id ORDER BY timestamp_utc)) AS island FROM atmos
-  WHERE temperature_2m IS NOT NULL AND timestamp_utc <= TIMESTAMP '2024-01-29 12:00:00') GROUP BY station_id, island HAVING count(*) >= 4"""
+  WHERE temperature_2m IS NOT NULL AND timestamp_utc <= TIMESTAMP '2024-01-29 12:00:00') GROUP BY station_id, island HAVING count(*) >= 25"""
 
 
 @query(
@@ -194,9 +194,9 @@ _RUNS = """SELECT station_id, min(timestamp_utc) AS run_start, max(timestamp_utc
         s.timestamp_utc > TIMESTAMP '2024-01-29 12:00:00') AS future_hours FROM (SELECT * FROM ({_RUNS}) QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY feature_hour DESC) = 1) r""",
 )
 def latest_complete_run(spark, path):
-    """Four complete hours in a row are asked for, three before the feature hour."""
+    """25 complete hours in a row are asked for, 24 before the feature hour."""
     hours = V.atmos(spark, path).select(*KEY, "temperature_2m")
-    return E.latest_complete_run(hours, F.col("temperature_2m").isNotNull(), F.lit(NOW), 3)
+    return E.latest_complete_run(hours, F.col("temperature_2m").isNotNull(), F.lit(NOW), 24)
 
 
 @query(

@@ -49,15 +49,15 @@ _REQUESTS = """SELECT event_id AS request_id, CASE event_id % 10 WHEN 0 THEN ''
     f"""SELECT request_id, station_text, time_text, station_id, timestamp_utc, reason, CASE WHEN reason IS NULL THEN 'COMPLETE' ELSE 'UNAVAILABLE' END AS data_status FROM
       (SELECT r.*, h.station_id AS known, CASE WHEN trim(station_text) = '' OR r.station_id IS NULL THEN 'INVALID_STATION' WHEN r.timestamp_utc IS NULL THEN 'INVALID_TIMESTAMP'
         WHEN h.station_id IS NULL THEN 'timestamp_not_in_history' WHEN h.n < 1 THEN 'insufficient_history' WHEN h.temperature_2m IS NULL THEN 'missing_or_nonfinite_atmospheric:temperature_2m'
-        WHEN h.n < 4 THEN 'insufficient_history' WHEN h.nwp_lifted_index IS NULL AND h.nwp_cape IS NULL THEN 'missing_required_nwp:nwp_cape'
+        WHEN h.n < 25 THEN 'insufficient_history' WHEN h.nwp_lifted_index IS NULL AND h.nwp_cape IS NULL THEN 'missing_required_nwp:nwp_cape'
         WHEN h.nwp_cape IS NULL THEN 'missing_required_nwp:nwp_cape' WHEN h.nwp_convective_inhibition IS NULL THEN 'missing_required_nwp:nwp_convective_inhibition' END AS reason
        FROM (SELECT q.*, s.station_id, try_strptime(trim(time_text), '%Y-%m-%d %H:%M:%S') AS timestamp_utc FROM ({_REQUESTS}) q LEFT JOIN stations s ON upper(s.station_id) = upper(trim(station_text))) r
-       LEFT JOIN (SELECT a.*, n.nwp_cape, n.nwp_convective_inhibition, n.nwp_lifted_index, count(a.temperature_2m) OVER (PARTITION BY a.station_id ORDER BY a.timestamp_utc ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS n
+       LEFT JOIN (SELECT a.*, n.nwp_cape, n.nwp_convective_inhibition, n.nwp_lifted_index, count(a.temperature_2m) OVER (PARTITION BY a.station_id ORDER BY a.timestamp_utc ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS n
          FROM atmos a LEFT JOIN nwp n ON n.station_id = a.station_id AND n.timestamp_utc = a.timestamp_utc) h ON h.station_id = r.station_id AND h.timestamp_utc = r.timestamp_utc)""",
 )
 def request_status(spark, path):
-    """Four hours of history are asked for here, so that the sparse tables have complete rows as well."""
-    history = X.full_history(V.atmos(spark, path), F.col("temperature_2m").isNotNull(), hours_back=3)
+    """An hour is answered when it and the 24 hours before it are complete."""
+    history = X.full_history(V.atmos(spark, path), F.col("temperature_2m").isNotNull())
     hours = history.join(V.nwp(spark, path), KEY, "left")
     return U.judge_requests(requests_of(spark, path), V.stations(spark), hours, V.ATMOSPHERE, V.MODEL)
 
@@ -205,7 +205,7 @@ def finite_rows(spark, path):
     "SELECT DISTINCT timestamp_utc FROM nwp WHERE hour(timestamp_utc) % 6 = 0 AND timestamp_utc BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-30 23:00:00'",
 )
 def six_hourly_candidates(spark, path):
-    return G.every_hours(V.nwp(spark, path), "timestamp_utc", 6, V.MODEL_START, V.WINDOW_END)
+    return G.every_hours(V.nwp(spark, path), "timestamp_utc", 6, V.REPLAY_START, V.last_hour(spark, path))
 
 
 @query(
@@ -301,7 +301,7 @@ def context_changes_no_score(spark, path):
 
 @query("full_snapshot", "SELECT station_id, timestamp_utc, p_1h, alert_1h, data_status FROM alerts")
 def full_snapshot(spark, path):
-    return J.snapshot(V.spine(spark), predictions_of(spark, path), ["p_1h", "alert_1h"])
+    return J.snapshot(V.spine(spark, path), predictions_of(spark, path), ["p_1h", "alert_1h"])
 
 
 @query(
@@ -366,7 +366,7 @@ def union_of_stations(spark, path):
       UNION ALL SELECT 'common', (SELECT count(*) FROM (FROM a INTERSECT FROM b))""",
 )
 def key_sets(spark, path):
-    return Q.key_sets(V.spine(spark), V.nwp(spark, path))
+    return Q.key_sets(V.spine(spark, path), V.nwp(spark, path))
 
 
 @query("distinct_keys", "SELECT count(*) AS n_rows, count(DISTINCT (station_id, valid_minute)) AS n_keys, count(*) - count(DISTINCT (station_id, valid_minute)) AS n_duplicates FROM reports")
@@ -412,7 +412,7 @@ def calendar_years(spark, path):
     _passed("label_is_binary", "strict_not_above_label", "label_not_above_recovered", "unknown_stays_unknown", "flag_matches_label"),
 )
 def label_domain(spark, path):
-    out = L.label_variants(V.bodies(spark, path), V.spine(spark))
+    out = L.label_variants(V.bodies(spark, path), V.spine(spark, path))
     label, strict, recovered = F.col("label"), F.col("label_strict"), F.col("label_recovered")
     return Q.rule_check(
         out,
@@ -517,7 +517,7 @@ def extraction_checks(spark, path):
 @query("repeatability", _passed("same_n_rows", "same_hash_xor", "same_hash_low", "same_hash_high"))
 def repeatability(spark, path):
     """The same table built twice, the second time from shuffled input, has the same content."""
-    again = L.hourly_labels(V.reports(spark, path).repartition(5, "report_id"), V.spine(spark))
+    again = L.hourly_labels(V.reports(spark, path).repartition(5, "report_id"), V.spine(spark, path))
     return Q.unchanged(labels_of(spark, path), again)
 
 

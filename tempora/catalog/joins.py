@@ -18,7 +18,7 @@ KEY = ["station_id", "timestamp_utc"]
 
 
 def aligned_of(spark, path):
-    return J.asof_hourly(V.spine(spark), V.scans(spark, path), "acq_end", "gid", ["cloudy", "cmk"])
+    return J.asof_hourly(V.spine(spark, path), V.scans(spark, path), "acq_end", "gid", ["cloudy", "cmk"])
 
 
 def overlap_of(spark, path):
@@ -33,7 +33,7 @@ def overlap_of(spark, path):
 def calendar_counts(spark, path):
     names = ["n_reports", "n_reports_with_wx", "n_ts_reports"]
     facts = hourly_counts(first_reports(with_flags(V.reports(spark, path)))).select(*KEY, *names)
-    return fill_on_spine(V.spine(spark), facts, KEY, names)
+    return fill_on_spine(V.spine(spark, path), facts, KEY, names)
 
 
 @query("hourly_report_counts", "SELECT station_id, timestamp_utc, n_reports, n_reports_with_wx, n_ts_reports, n_ts_reports > 0 AS any_event FROM hour_counts")
@@ -68,7 +68,7 @@ def feature_target_rows(spark, path):
       WHERE timestamp_utc >= (SELECT min(timestamp_utc) FROM nwp) AND timestamp_utc <= (SELECT max(timestamp_utc) FROM nwp) GROUP BY station_id""",
 )
 def model_window_restriction(spark, path):
-    out = J.inside_window(V.spine(spark), V.nwp(spark, path).select("timestamp_utc"))
+    out = J.inside_window(V.spine(spark, path), V.nwp(spark, path).select("timestamp_utc"))
     return out.groupBy("station_id").agg(
         F.count("*").alias("n"), F.min("timestamp_utc").alias("first"), F.max("timestamp_utc").alias("last")
     )
@@ -112,7 +112,7 @@ def asof_match_rate(spark, path):
     "SELECT station_id, date_trunc('hour', acq_end) AS timestamp_utc, gid, acq_end FROM scans",
 )
 def scans_in_same_hour(spark, path):
-    return J.in_same_hour(V.spine(spark), V.scans(spark, path).select("station_id", "gid", "acq_end"), "acq_end")
+    return J.in_same_hour(V.spine(spark, path), V.scans(spark, path).select("station_id", "gid", "acq_end"), "acq_end")
 
 
 @query(
@@ -154,7 +154,7 @@ def observed_semi_join(spark, path):
       (SELECT 1 FROM nwp n WHERE n.station_id = s.station_id AND n.timestamp_utc = s.timestamp_utc) GROUP BY station_id""",
 )
 def unmatched_anti_join(spark, path):
-    out = V.spine(spark).join(V.nwp(spark, path), KEY, "left_anti")
+    out = V.spine(spark, path).join(V.nwp(spark, path), KEY, "left_anti")
     return out.groupBy("station_id").agg(F.count("*").alias("n"), F.min("timestamp_utc").alias("first"), F.max("timestamp_utc").alias("last"))
 
 

@@ -14,7 +14,7 @@ KEY = ["station_id", "timestamp_utc"]
 
 
 def labels_of(spark, path):
-    return L.hourly_labels(V.reports(spark, path), V.spine(spark))
+    return L.hourly_labels(V.reports(spark, path), V.spine(spark, path))
 
 
 def targets_of(spark, path):
@@ -35,7 +35,7 @@ def hourly_labels(spark, path):
     FROM labels""",
 )
 def hourly_labels_any_report(spark, path):
-    out = L.hourly_labels(V.reports(spark, path), V.spine(spark), evidence="reports")
+    out = L.hourly_labels(V.reports(spark, path), V.spine(spark, path), evidence="reports")
     return out.select(*KEY, "n_reports", "target")
 
 
@@ -118,7 +118,7 @@ def report_bodies(spark, path):
       GROUP BY ALL) h USING (station_id, timestamp_utc)""",
 )
 def label_variants(spark, path):
-    return L.label_variants(V.bodies(spark, path), V.spine(spark))
+    return L.label_variants(V.bodies(spark, path), V.spine(spark, path))
 
 
 @query(
@@ -212,4 +212,4 @@ def target_statistics(spark, path):
     WHERE y IS NULL GROUP BY ALL""",
 )
 def missing_target_reasons(spark, path):
-    return T.missing_reasons(T.unpivot_leads(targets_of(spark, path), KEY), V.WINDOW_END)
+    return T.missing_reasons(T.unpivot_leads(targets_of(spark, path), KEY), V.last_hour(spark, path))

@@ -22,7 +22,6 @@ from tempora.sources import views as V
 KEY = ["station_id", "timestamp_utc"]
 TARGETS = ["target_1h", "target_2h", "target_3h"]
 INSTANT = X.CURRENT + X.CYCLIC + X.WIND
-HISTORY = 3
 TREES = 50
 DEPTH = 8
 
@@ -41,12 +40,12 @@ def model_table(spark, path):
 
 
 def judged_of(spark, path):
-    wanted = R.candidates(V.spine(spark), 6, V.MODEL_START, V.WINDOW_END)
-    return R.judge_candidates(wanted, V.atmos(spark, path), V.nwp(spark, path), V.ATMOSPHERE, V.MODEL, HISTORY)
+    wanted = R.candidates(V.spine(spark, path), 6, V.REPLAY_START, V.last_hour(spark, path))
+    return R.judge_candidates(wanted, V.atmos(spark, path), V.nwp(spark, path), V.ATMOSPHERE, V.MODEL, X.HISTORY_HOURS)
 
 
-_JUDGED = """SELECT a.station_id, a.timestamp_utc, CASE WHEN a.k < 4 THEN 'insufficient_history' WHEN n.nwp_cape IS NULL OR n.nwp_convective_inhibition IS NULL THEN 'missing_required_nwp' END AS reason
-  FROM (SELECT *, count(temperature_2m) OVER (PARTITION BY station_id ORDER BY timestamp_utc ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS k FROM atmos) a
+_JUDGED = """SELECT a.station_id, a.timestamp_utc, CASE WHEN a.k < 25 THEN 'insufficient_history' WHEN n.nwp_cape IS NULL OR n.nwp_convective_inhibition IS NULL THEN 'missing_required_nwp' END AS reason
+  FROM (SELECT *, count(temperature_2m) OVER (PARTITION BY station_id ORDER BY timestamp_utc ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS k FROM atmos) a
   LEFT JOIN nwp n ON n.station_id = a.station_id AND n.timestamp_utc = a.timestamp_utc WHERE a.timestamp_utc >= TIMESTAMP '2024-01-03' AND hour(a.timestamp_utc) % 6 = 0"""
 
 

@@ -27,22 +27,22 @@ def _sums(where: str) -> str:
 
 VIEWS: dict[str, str] = {
     "stations": f"SELECT * FROM (VALUES {_STATIONS}) t({V.STATION_COLUMNS})",
-    "spine": """SELECT station_id, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00',
-      INTERVAL 1 HOUR)) AS timestamp_utc FROM stations""",
     "ev": "SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
+    "spine": """SELECT station_id, unnest(generate_series((SELECT date_trunc('hour', min(ts)) FROM ev), (SELECT date_trunc('hour', max(ts)) FROM ev),
+      INTERVAL 1 HOUR)) AS timestamp_utc FROM stations""",
     "reports": """SELECT event_id AS report_id, event_type AS station_id, ts AS valid_ts, date_trunc('minute', ts) AS valid_minute,
       CASE WHEN k < 8 THEN '-TSRA BR' WHEN k < 12 THEN 'VCTS/HZ' WHEN k < 30 THEN 'M' WHEN k < 34 THEN '' ELSE 'HZ' END AS wxcodes
       FROM ev""",
     "bodies": f"""SELECT *, upper(station_id) || ' ' || strftime(valid_ts, '%d%H%M') || 'Z ' || ([{_BODIES}])[report_id % 8 + 1] AS metar
       FROM reports""",
-    "atmos_sums": _sums("user_id % 2 = 0"),
-    "nwp_sums": _sums("user_id % 2 = 1 AND ts >= TIMESTAMP '2024-01-03 00:00:00'"),
+    "atmos_sums": _sums("true"),
+    "nwp_sums": _sums("true"),
     "atmos": f"SELECT station_id, timestamp_utc, {_weather()} FROM spine LEFT JOIN atmos_sums USING (station_id, timestamp_utc)",
     "nwp": f"""SELECT station_id, timestamp_utc, CASE WHEN s % 11 <> 0 THEN s / 10.0::DOUBLE END AS nwp_cape,
       CASE WHEN s % 13 <> 0 THEN lo / -100.0::DOUBLE END AS nwp_convective_inhibition,
       (5000 - s / n) / 1000.0::DOUBLE AS nwp_lifted_index, {_weather('nwp_')} FROM nwp_sums""",
     "scans": """SELECT event_type AS station_id, event_id AS gid, ts AS acq_end,
-      least(round(value * 100), 60000.0::DOUBLE) / 60000.0::DOUBLE AS cloudy, k % 4 AS cmk FROM ev WHERE event_id % 7 = 0""",
+      least(round(value * 100), 60000.0::DOUBLE) / 60000.0::DOUBLE AS cloudy, k % 4 AS cmk FROM ev""",
     "pixels": """SELECT c_mktsegment AS scan_id, c_custkey AS row, c_custkey % 100 AS col, 5 + (c_custkey * 37 % 2600) / 100.0::DOUBLE AS lat,
       70 + (c_custkey * 53 % 2000) / 100.0::DOUBLE AS lon, CASE WHEN c_custkey % 5 = 4 THEN 9 ELSE c_custkey % 5 END AS cls FROM customer""",
     "strikes": """SELECT p_partkey AS point_id, (['event', 'group', 'flash'])[p_size % 3 + 1] AS lightning_type,

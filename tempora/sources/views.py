@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from tempora.functions import clock
 from tempora.operators.calendar import hourly_spine
 
-# The calendar window of the hourly tables and the first hour of the forecast model.
+# Parameters: the window that the feeds replay, and the first hour that is asked of the archive replay.
 WINDOW_START = datetime(2024, 1, 1, 0)
 WINDOW_END = datetime(2024, 1, 30, 23)
-MODEL_START = datetime(2024, 1, 3, 0)
+REPLAY_START = datetime(2024, 1, 3, 0)
 
 # Station, latitude, longitude, elevation in m, rank, name.
 STATIONS = [
@@ -59,8 +59,19 @@ def stations(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({STATION_COLUMNS})")
 
 
-def spine(spark: SparkSession) -> DataFrame:
-    return hourly_spine(stations(spark).select("station_id"), WINDOW_START, WINDOW_END)
+def first_hour(spark: SparkSession, path: str) -> Column:
+    """First hour of the calendar, a scalar subquery on the events."""
+    return table(spark, path, "events").agg(F.date_trunc("hour", F.min("ts")).cast("timestamp")).scalar()
+
+
+def last_hour(spark: SparkSession, path: str) -> Column:
+    """Last hour of the calendar."""
+    return table(spark, path, "events").agg(F.date_trunc("hour", F.max("ts")).cast("timestamp")).scalar()
+
+
+def spine(spark: SparkSession, path: str) -> DataFrame:
+    """Every station and hour between the first and the last event; no hours where there are no events."""
+    return hourly_spine(stations(spark).select("station_id"), first_hour(spark, path), last_hour(spark, path))
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -127,16 +138,6 @@ def hourly_sums(df: DataFrame, **parts: Column) -> DataFrame:
     return df.groupBy(F.col("event_type").alias("station_id"), clock.hour_of(F.col("ts")).alias("timestamp_utc")).agg(*columns)
 
 
-def measured() -> Column:
-    """Events that count as measurements."""
-    return F.col("user_id") % 2 == 0
-
-
-def modelled() -> Column:
-    """Events that count as forecast-model values."""
-    return (F.col("user_id") % 2 == 1) & (F.col("ts") >= F.lit(MODEL_START))
-
-
 def _weather(prefix: str = "") -> list[Column]:
     n, s, lo, hi, sk, su = (F.col(c) for c in ("n", "s", "lo", "hi", "sk", "su"))
     return [
@@ -152,29 +153,26 @@ def _weather(prefix: str = "") -> list[Column]:
 
 def atmos(spark: SparkSession, path: str) -> DataFrame:
     """Hourly predictors on the full calendar; hours without a measurement are unknown."""
-    even = events(spark, path).filter(measured())
-    values = hourly_sums(even, **{"": F.lit(True)}).select("station_id", "timestamp_utc", *_weather())
-    return spine(spark).join(values, ["station_id", "timestamp_utc"], "left")
+    values = hourly_sums(events(spark, path), **{"": F.lit(True)}).select("station_id", "timestamp_utc", *_weather())
+    return spine(spark, path).join(values, ["station_id", "timestamp_utc"], "left")
 
 
 def nwp(spark: SparkSession, path: str) -> DataFrame:
     """Forecast-model table: only hours that the model covers have a row."""
-    odd = events(spark, path).filter(modelled())
     n, s, lo = F.col("n"), F.col("s"), F.col("lo")
     indices = [
         F.when(s % 11 != 0, s / 10.0).alias("nwp_cape"),
         F.when(s % 13 != 0, lo / -100.0).alias("nwp_convective_inhibition"),
         ((5000 - s / n) / 1000.0).alias("nwp_lifted_index"),
     ]
-    return hourly_sums(odd, **{"": F.lit(True)}).select("station_id", "timestamp_utc", *indices, *_weather("nwp_"))
+    return hourly_sums(events(spark, path), **{"": F.lit(True)}).select("station_id", "timestamp_utc", *indices, *_weather("nwp_"))
 
 
 def scans(spark: SparkSession, path: str) -> DataFrame:
-    """Satellite scans: every seventh event, with an acquisition time and a cloudy share."""
+    """Satellite scans: one per event, with an acquisition time and a cloudy share."""
     share = F.least(F.round(F.col("value") * 100), F.lit(60000.0)) / 60000.0
     return (
         events(spark, path)
-        .filter(F.col("event_id") % 7 == 0)
         .select(
             F.col("event_type").alias("station_id"),
             F.col("event_id").alias("gid"),
