@@ -255,12 +255,12 @@ def valid_positions(spark, path):
 
 @query(
     "causal_slice",
-    """SELECT station_id, count(*) FILTER (timestamp_utc <= TIMESTAMP '2024-01-29 12:00:00') AS used_hours, count(*) FILTER (timestamp_utc > TIMESTAMP '2024-01-29 12:00:00') AS future_hours
-      FROM atmos GROUP BY station_id""",
+    """SELECT station_id, count(*) FILTER (timestamp_utc <= TIMESTAMP '2024-01-29 12:00:00') AS used_hours, count(*) FILTER (timestamp_utc > TIMESTAMP '2024-01-29 12:00:00') AS future_hours,
+      count(temperature_2m) FILTER (timestamp_utc <= TIMESTAMP '2024-01-29 12:00:00') AS known_hours FROM atmos GROUP BY station_id""",
 )
 def causal_slice(spark, path):
     past = F.col("timestamp_utc") <= F.lit(NOW)
-    return V.atmos(spark, path).groupBy("station_id").agg(F.count_if(past).alias("used_hours"), F.count_if(~past).alias("future_hours"))
+    return V.atmos(spark, path).groupBy("station_id").agg(F.count_if(past).alias("used_hours"), F.count_if(~past).alias("future_hours"), F.count(F.when(past, F.col("temperature_2m"))).alias("known_hours"))
 
 
 @query(
@@ -351,12 +351,12 @@ def top_correlations(spark, path):
 # sets -----------------------------------------------------------------------------------------------------------
 
 
-@query("union_of_stations", "SELECT station_id, count(*) AS n, count(DISTINCT timestamp_utc) AS n_hours FROM labels GROUP BY station_id")
+@query("union_of_stations", "SELECT station_id, count(*) AS n, count(DISTINCT timestamp_utc) AS n_hours, count(target) AS n_known FROM labels GROUP BY station_id")
 def union_of_stations(spark, path):
     """Station frames put together again: the key stays unique."""
-    labels = labels_of(spark, path).select(*KEY)
+    labels = labels_of(spark, path).select(*KEY, "target")
     parts = [labels.filter(F.col("station_id") == s[0]) for s in V.STATIONS]
-    return Q.union(parts).groupBy("station_id").agg(F.count("*").alias("n"), F.countDistinct("timestamp_utc").alias("n_hours"))
+    return Q.union(parts).groupBy("station_id").agg(F.count("*").alias("n"), F.countDistinct("timestamp_utc").alias("n_hours"), F.count("target").alias("n_known"))
 
 
 @query(
@@ -455,14 +455,14 @@ def split_order_checks(spark, path):
 
 @query(
     "held_out_absent",
-    f"SELECT split, count(*) AS n_rows, count(DISTINCT station_id) AS n_stations FROM ({_SPLIT}) WHERE CASE split WHEN 'test' THEN station_id = 'click' ELSE station_id <> 'click' END GROUP BY split",
+    f"SELECT split, count(*) AS n_rows, count(DISTINCT station_id) AS n_stations, count(target_1h) AS n_known FROM ({_SPLIT}) WHERE CASE split WHEN 'test' THEN station_id = 'click' ELSE station_id <> 'click' END GROUP BY split",
 )
 def held_out_absent(spark, path):
     """Leave one station out: it is only in the test part, and the test part holds nothing else."""
     from tempora.plans.experiments import leave_one_out
 
-    out = leave_one_out(S.with_split(targets_of(spark, path).select(*KEY)), "click")
-    return out.groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("station_id").alias("n_stations"))
+    out = leave_one_out(S.with_split(targets_of(spark, path).select(*KEY, "target_1h")), "click")
+    return out.groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("station_id").alias("n_stations"), F.count("target_1h").alias("n_known"))
 
 
 @query("score_checks", _passed("probability_in_unit_interval", "alert_follows_threshold", "unknown_target_not_scored", "bins_cover_all"))

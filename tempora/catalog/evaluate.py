@@ -145,19 +145,19 @@ def probability_bins(spark, path):
 
 def _error_sql(kind: str) -> str:
     stations = ", ".join(f"count(*) FILTER (station_id = '{s[0]}') AS n_{s[0]}" for s in V.STATIONS)
+    months = ", ".join(f"count(*) FILTER (month(timestamp_utc) = {m}) AS n_month_{m:02d}" for m in range(1, 13))
     return f"""SELECT lead, verdict, count(*) AS n, round(min(p), 6) AS prob_min, round(quantile_cont(p, 0.5), 6) AS prob_median, round(avg(p), 6) AS prob_mean,
       round(max(p), 6) AS prob_max, round(abs(quantile_cont(p, 0.5) - 0.065::DOUBLE), 6) AS median_distance, round(abs(avg(p) - 0.065::DOUBLE), 6) AS mean_distance,
-      count(*) FILTER (abs(p - 0.065::DOUBLE) <= 0.02::DOUBLE) AS near_threshold, {stations}, count(*) FILTER (month(timestamp_utc) = 1) AS n_month_01,
-      count(*) FILTER (year(timestamp_utc) = 2024) AS n_year_2024 FROM scored WHERE verdict IN ({kind}) GROUP BY ALL"""
+      count(*) FILTER (abs(p - 0.065::DOUBLE) <= 0.02::DOUBLE) AS near_threshold, {stations}, {months} FROM scored WHERE verdict IN ({kind}) GROUP BY ALL"""
 
 
 @query("error_summary", _error_sql("'FP', 'FN'"))
 def error_summary(spark, path):
-    """False alarms and misses by lead: probabilities, distance to the threshold, stations, years and months."""
+    """False alarms and misses by lead: probabilities, distance to the threshold, stations and months."""
     errors = scored_of(spark, path).filter(F.col("verdict").isin("FP", "FN"))
     p, limit = F.col("p"), F.lit(E.THRESHOLD)
     flags = [F.count_if(F.col("station_id") == s[0]).alias(f"n_{s[0]}") for s in V.STATIONS]
-    flags += [F.count_if(F.month("timestamp_utc") == 1).alias("n_month_01"), F.count_if(F.year("timestamp_utc") == 2024).alias("n_year_2024")]
+    flags += [F.count_if(F.month("timestamp_utc") == m).alias(f"n_month_{m:02d}") for m in range(1, 13)]
     base = errors.groupBy("lead", "verdict").agg(
         F.count("*").alias("n"),
         F.round(F.min(p), 6).alias("prob_min"),
@@ -175,6 +175,16 @@ def error_summary(spark, path):
     )
 
 
+@query(
+    "error_years",
+    """SELECT lead, verdict, year(timestamp_utc)::INT AS year, month(timestamp_utc)::INT AS month, count(*) AS n, round(avg(p), 6) AS prob_mean
+      FROM scored WHERE verdict IN ('FP', 'FN') GROUP BY ALL""",
+)
+def error_years(spark, path):
+    """Errors of every year and month that has any."""
+    return E.errors_by_month(scored_of(spark, path))
+
+
 @query(
     "error_calendar",
     """SELECT lead, verdict, day(timestamp_utc) AS day, count(*) FILTER (station_id = 'view') AS "view", count(*) FILTER (station_id = 'purchase') AS purchase,

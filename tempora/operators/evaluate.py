@@ -103,9 +103,9 @@ def rates(counts: DataFrame, beta: float = BETA) -> DataFrame:
     )
 
 
-def ranking(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+def ranking(groups: DataFrame, keys: Sequence[str], staged: bool = False) -> DataFrame:
     """Exact ROC-AUC (ties count half) and average precision; NULL when only one class is present."""
-    cum = running_sums(groups, keys, "p", ["n", "pos"])
+    cum = running_sums(groups, keys, "p", ["n", "pos"], staged)
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     all_pos, all_neg = F.col("pos_all"), F.col("n_all") - F.col("pos_all")
     neg_below = F.col("n_upto") - F.col("pos_upto") - neg
@@ -131,8 +131,9 @@ def metrics(scores: DataFrame, keys: Sequence[str], scope: str | None = "station
     The score groups are read by several aggregates, so they are staged once.
     """
     by = [*keys, scope] if scope else list(keys)
-    groups = stage(score_groups(scores, keys, scope), "score_groups")
-    return rates(confusion(groups, by, threshold)).join(ranking(groups, by), by)
+    groups = score_groups(scores, keys, scope).select(*by, "p", "n", "pos")
+    groups = stage(groups, "score_groups")
+    return rates(confusion(groups, by, threshold)).join(ranking(groups, by, staged=True), by)
 
 
 def sweep(groups: DataFrame, keys: Sequence[str], beta: float = BETA) -> DataFrame:
@@ -235,3 +236,10 @@ def compare_metrics(left: DataFrame, right: DataFrame, keys: Sequence[str], name
     joined = left.alias("l").join(right.alias("r"), list(keys))
     deltas = [(F.col(f"r.{m}") - F.col(f"l.{m}")).alias(f"delta_{m}") for m in names]
     return joined.select(*keys, *deltas)
+
+
+def errors_by_month(scored: DataFrame) -> DataFrame:
+    """False alarms and misses per lead, year and month; no month is named beforehand."""
+    errors = scored.filter(F.col("verdict").isin("FP", "FN"))
+    by = [F.year("timestamp_utc").alias("year"), F.month("timestamp_utc").alias("month")]
+    return errors.groupBy("lead", "verdict", *by).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("prob_mean"))

@@ -25,8 +25,7 @@ def inside_window(df: DataFrame, other: DataFrame, ts: str = "timestamp_utc") ->
 
 def overlap(features: DataFrame, targets: DataFrame, model: DataFrame) -> DataFrame:
     """Feature, target and forecast-model rows that exist on all three sides."""
-    both = features.join(targets, KEY)
-    return inside_window(both, model).join(model, KEY)
+    return features.join(targets, KEY).join(model, KEY)
 
 
 def join_audit(left: DataFrame, right: DataFrame, keys: Sequence[str] = tuple(KEY), by: str = "station_id") -> DataFrame:
@@ -73,7 +72,7 @@ def asof_hourly(
     best = (
         scans.select(by, payload.alias("_scan"), F.explode(targets).alias("_hour"))
         .groupBy(by, "_hour")
-        .agg(F.max_by("_scan", F.struct(F.col(f"_scan.{end}"), -F.col(f"_scan.{tie}"))).alias("_scan"))
+        .agg(F.min_by("_scan", F.struct(-F.unix_micros(f"_scan.{end}"), F.isnull(f"_scan.{tie}"), f"_scan.{tie}")).alias("_scan"))
         .select(by, from_hour_index(F.col("_hour")).alias(ts), "_scan")
     )
     joined = hours.join(best, [by, ts], "left")

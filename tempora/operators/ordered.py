@@ -1,6 +1,6 @@
 """Exact running sums, ranks and percentiles in value order, without one big ordered window.
 
-Equal values are collapsed first. The number line is cut into leaves of 1e-5 relative width and the leaves into slots,
+Equal values are collapsed first. The number line is cut into leaves of 1e-5 relative width, at every magnitude, and the leaves into slots,
 by a fixed rule that depends on the value alone, so every run and every retry cuts alike. A running sum is then the
 sum inside the leaf plus the totals of the earlier leaves of its slot plus the totals of the earlier slots: three
 windows, none of which sees more than one leaf, the leaves of one slot, or the slots of one key.
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from tempora.session import stage
 
-LEAVES_PER_UNIT = 100_000
+LEAVES_PER_OCTAVE = 1 << 16
+#: Above the exponents of all finite doubles, so that every size counts from zero upwards.
+OCTAVES = 1100
 LEAVES_PER_SLOT = 8192
 
 
@@ -26,17 +28,20 @@ def value_groups(df: DataFrame, keys: Sequence[str], x: str, **sums) -> DataFram
 
 
 def _leaf(x: Column) -> Column:
-    """Leaf number: rises with x, evenly on a logarithmic scale on both sides of zero."""
-    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * LEAVES_PER_UNIT)
+    """Leaf number: rises with x, evenly in the logarithm of its size, so tiny values spread like large ones; zero is a leaf."""
+    size = F.least(F.log2(F.abs(x)), F.lit(float(OCTAVES))) + OCTAVES
+    place = F.floor(size * LEAVES_PER_OCTAVE) + 1
+    return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, place).otherwise(-place)
 
 
-def running_sums(groups: DataFrame, keys: Sequence[str], x: str, names: Sequence[str]) -> DataFrame:
+def running_sums(groups: DataFrame, keys: Sequence[str], x: str, names: Sequence[str], staged: bool = False) -> DataFrame:
     """Add ``<name>_upto`` (ascending in x, own row included) and ``<name>_all`` to rows that are unique per key and x.
 
-    The groups are read three times below, so they are staged once instead of being computed again from their source.
+    The groups are read three times below, so they are staged once instead of being computed again from their source;
+    ``staged`` tells that they already are.
     """
     keys = list(keys)
-    groups = stage(groups, "value_groups")
+    groups = groups if staged else stage(groups, "value_groups")
     rows = groups.withColumn("_leaf", _leaf(F.col(x).cast("double")))
     leaves = (
         rows.groupBy(*keys, "_leaf")
