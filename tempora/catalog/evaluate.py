@@ -23,7 +23,7 @@ TARGETS = ["target_1h", "target_2h", "target_3h"]
 def scores_only(spark, path):
     """Probabilities and status of every station-hour, from whole-number sums; no target is read."""
     sums = V.hourly_sums(V.events(spark, path), a_=F.lit(True), b_=F.lit(True))
-    joined = V.spine(spark, path).join(sums, KEY, "left")
+    joined = V.spine(spark, path, V.known_window(spark, path)).join(sums, KEY, "left")
     reason = values.first_failure([(F.col("a_s").isNull(), "insufficient_history"), (F.col("b_s").isNull(), "missing_required_nwp")])
     return joined.select(
         *KEY,

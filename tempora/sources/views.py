@@ -69,9 +69,16 @@ def last_hour(spark: SparkSession, path: str) -> Column:
     return table(spark, path, "events").agg(F.date_trunc("hour", F.max("ts")).cast("timestamp")).scalar()
 
 
-def spine(spark: SparkSession, path: str) -> DataFrame:
+def known_window(spark: SparkSession, path: str) -> tuple[Column, Column]:
+    """First and last hour as literals: one small aggregate now, for plans that are built into many others."""
+    ends = [F.date_trunc("hour", f("ts")).cast("string") for f in (F.min, F.max)]
+    return tuple(F.lit(x).cast("timestamp") for x in table(spark, path, "events").agg(*ends).first())
+
+
+def spine(spark: SparkSession, path: str, window: tuple[Column, Column] | None = None) -> DataFrame:
     """Every station and hour between the first and the last event; no hours where there are no events."""
-    return hourly_spine(stations(spark).select("station_id"), first_hour(spark, path), last_hour(spark, path))
+    first, last = window or (first_hour(spark, path), last_hour(spark, path))
+    return hourly_spine(stations(spark).select("station_id"), first, last)
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
