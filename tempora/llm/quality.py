@@ -1,10 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
 A text's words are lower-cased, digits become 0, and each word is padded by a space on both sides; the model predicts a
-word's characters from up to ORDER - 1 before them. Counts are gathered from every trusted text: words are counted per
-task and summed by key, their n-grams likewise, and each order's table is joined by key with its contexts and with the
+word's characters from up to ORDER - 1 before them. Counts are gathered from every trusted text: n-grams are counted per
+task and summed by key, and each order's table is joined by key with its contexts and with the
 next lower order. The finished table is small (its size is checked, and the order is lowered while it is above
-MODEL_GRAMS) and goes to every task, where a word is scored once.
+MODEL_GRAMS) and goes to every task, where a gram's cost is worked out once and texts are scored as arrays.
 
 A document has two perplexities per character: of the whole text, and of the worst 2 % of its words, where slurs, keys
 and markup stand out that a mean hides. Each is held against a quantile of the trusted documents of its language.
@@ -13,6 +13,7 @@ and markup stand out that a mean hides. Each is held against a quantile of the t
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,66 +25,77 @@ from pyspark.sql import functions as F
 from tempora.llm.common import when_small
 from tempora.session import stage
 
+#: At most 4, so that a gram fits in 64 bits.
 ORDER = 4
 MODEL_GRAMS = 2_000_000
 #: Share of a document's words that count as its worst.
 WORST = 0.02
 #: Quantiles of trusted documents above which a document is rejected.
 MEAN_QUANTILE, WORST_QUANTILE = 0.995, 0.985
-#: Entries of a task's tables before they are handed on or emptied; bounds memory only.
+#: Entries of a task's table of costs before it is emptied, and characters counted at once; they bound memory only.
 TABLE = 300_000
+CHUNK = 1_000_000
 #: The language that stands for a missing or untrained one.
 POOLED = ""
 
-_DIGITS = {ord(c): "0" for c in "123456789"}
+#: Bits of the number of places for recent costs, 4 MB a language.
+SLOTS = 18
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_DIGITS = {ord(c): "0" for c in "123456789"} | {0: "\uffff"}
+_LONG = re.compile("[\U00010000-\U0010ffff]")
 
-def normal(word: str) -> str:
-    return word.lower().translate(_DIGITS)
 
+def normal(text: str) -> str:
+    """Lower case, digits as 0; characters beyond 16 bits and NUL become one character of their own."""
+    text = text.lower().translate(_DIGITS)
+    return text if text.isascii() else _LONG.sub("\uffff", text)
 
-def _rows(sums: Counter, names: list[str]) -> pa.RecordBatch:
-    first, second = zip(*sums, strict=True) if sums else ((), ())
-    columns = [pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(list(sums.values()), pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names)
 
+def gram_numbers(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the grams that end in each character of words in normal form and in their closing spaces, and where
+    those spaces are. A number holds a gram's characters in 16 bits each, the last one lowest.
+    """
+    line = np.frombuffer(f" {' '.join(words)} ".encode("utf-16-le"), np.uint16).astype(np.uint64)
+    space = line == 32
+    numbers, inside = line[1:].copy(), np.ones(len(line) - 1, bool)
+    for back in range(1, order):
+        # a context ends at the space before the word
+        numbers[back - 1 :] |= np.where(inside[back - 1 :], line[: len(line) - back], 0) << np.uint64(16 * back)
+        inside[back - 1 :] &= ~space[: len(line) - back]
+    return numbers, space[1:]
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: Counter = Counter()
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for word, n in Counter(text.as_py().split()).items():
-                word = normal(word)
-                sums[lang, word] += n
-                if lang != POOLED:
-                    sums[POOLED, word] += n
-            if len(sums) > TABLE:
-                yield _rows(sums, ["lang", "word", "n"])
-                sums.clear()
-    yield _rows(sums, ["lang", "word", "n"])
+
+def gram_of(number: int) -> str:
+    return number.to_bytes(8, "big").decode("utf-16-be", "surrogatepass").lstrip("\0")
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    sums: Counter = Counter()
     for batch in batches:
-        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            padded = f" {word} "
-            for i in range(1, len(padded)):
-                sums[lang, padded[max(0, i - order + 1) : i + 1]] += n
-            if len(sums) > TABLE:
-                yield _rows(sums, ["lang", "gram", "n"])
-                sums.clear()
-    yield _rows(sums, ["lang", "gram", "n"])
-
-
-def word_counts(trusted: DataFrame) -> DataFrame:
+        waiting: dict[str, list[str]] = {}
+        sizes: Counter = Counter()
+        rows = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+        for lang, text in [*rows, (None, None)]:
+            if text is not None:
+                waiting.setdefault(lang, []).append(text.as_py())
+                sizes[lang] += len(waiting[lang][-1])
+            for full in [x for x in waiting if text is None or sizes[x] > CHUNK]:
+                words = normal(" ".join(waiting.pop(full))).split()
+                del sizes[full]
+                if words:
+                    numbers, counts = np.unique(gram_numbers(words, order)[0], return_counts=True)
+                    grams = pa.array(map(gram_of, numbers.tolist()), pa.string())
+                    columns = [pa.array([full] * len(numbers), pa.string()), grams, pa.array(counts, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
+
+
+def gram_counts(trusted: DataFrame, order: int) -> DataFrame:
+    """Counts of each language, and those of all text together as the pooled model's."""
     rows = trusted.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").filter("text is not null")
-    return rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-
-def gram_counts(words: DataFrame, order: int) -> DataFrame:
-    grams = words.mapInArrow(lambda b: _count_grams(b, order), "lang string, gram string, n long")
-    return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = rows.mapInArrow(lambda b: _count_grams(b, order), "lang string, gram string, n long")
+    own = stage(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "own_grams")
+    pooled = own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
+    return own.filter(F.col("lang") != POOLED).union(pooled)
 
 
 def probabilities(raw: DataFrame, order: int) -> DataFrame:
@@ -127,50 +139,60 @@ def probabilities(raw: DataFrame, order: int) -> DataFrame:
     return lower.join(backs, ["lang", "gram"], "full")
 
 
-class Scores(dict):
-    """Word scores under one language's table, each worked out once: a word's place in the columns of costs."""
+class Costs(dict):
+    """Surprisal in nats of a gram's last character after the others, by gram number, each worked out once."""
 
-    def __init__(self, table: dict[str, tuple[float, float]], order: int):
+    def __init__(self, table: dict[str, tuple[float, float]]):
         super().__init__()
-        self.table, self.order = table, order
-        self.cost, self.size = np.zeros(1024), np.zeros(1024)
-        self.n = 0
-
-    def surprisal(self, word: str) -> tuple[float, int]:
-        """In nats, and the number of characters, the closing space included."""
-        padded = f" {normal(word)} "
-        total = 0.0
-        for i in range(1, len(padded)):
-            gram, weight = padded[max(0, i - self.order + 1) : i + 1], 1.0
-            while True:
-                p = self.table.get(gram, (None, None))[0]
-                if p is not None or not gram:
-                    break
-                weight *= self.table.get(gram[:-1], (None, 1.0))[1] or 1.0
-                gram = gram[1:]
-            total -= math.log(max(weight * (p or 1e-6), 1e-12))
-        return total, len(padded) - 1
-
-    def __missing__(self, word: str) -> int:
-        if self.n == len(self.cost):
-            self.cost, self.size = (np.concatenate([x, np.zeros(len(x))]) for x in (self.cost, self.size))
-        self.cost[self.n], self.size[self.n] = self.surprisal(word)
-        self[word] = self.n
-        self.n += 1
-        return self.n - 1
+        self.table = table
+
+    def __missing__(self, number: int) -> float:
+        short, weight = gram_of(number), 1.0
+        while True:
+            p = self.table.get(short, (None, None))[0]
+            if p is not None or not short:
+                break
+            weight *= self.table.get(short[:-1], (None, 1.0))[1] or 1.0
+            short = short[1:]
+        if len(self) > TABLE:
+            self.clear()
+        self[number] = cost = -math.log(max(weight * (p or 1e-6), 1e-12))
+        return cost
+
+
+class Scores:
+    """Text scores under one language's table. Costs of recent grams stand in an array; others are looked up."""
+
+    def __init__(self, table: dict[str, tuple[float, float]], order: int):
+        self.costs, self.order = Costs(table), order
+        self.numbers, self.recent = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        slot = (numbers * _SPREAD) >> np.uint64(64 - SLOTS)
+        out = self.recent[slot]
+        other = np.flatnonzero(self.numbers[slot] != numbers)
+        if len(other):
+            new, where = np.unique(numbers[other], return_inverse=True)
+            found = np.array([self.costs[x] for x in new.tolist()])
+            out[other] = found[where]
+            slot = (new * _SPREAD) >> np.uint64(64 - SLOTS)
+            # of two that share a slot the last one stays, in both arrays
+            slot, last = np.unique(slot[::-1], return_index=True)
+            self.numbers[slot], self.recent[slot] = new[::-1][last], found[::-1][last]
+        return out
 
     def text(self, text: str) -> tuple[float, float] | None:
-        """(mean, mean of the worst words) of surprisal per character; None without words."""
-        words = text.split()
+        """(mean, mean of the worst words) of surprisal per character, closing spaces included; None without words."""
+        words = normal(text).split()
         if not words:
             return None
-        if self.n > TABLE:
-            self.clear()
-            self.n = 0
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        cost, size = self.cost[at], self.size[at]
+        numbers, space = gram_numbers(words, self.order)
+        cost = self.of(numbers)
+        ends = np.flatnonzero(space)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        size = ends + 1 - starts
+        rate = np.add.reduceat(cost, starts) / size
         k = max(1, round(WORST * len(words)))
-        rate = cost / size
         return float(cost.sum() / size.sum()), float(np.partition(rate, len(rate) - k)[-k:].mean())
 
 
@@ -190,11 +212,13 @@ class Classifier:
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Classifier = shared.value
-    scorers = {lang: Scores(table, model.order) for lang, table in model.tables.items()}
+    scorers: dict[str, Scores] = {}
     for batch in batches:
         mean, worst, keep, used = [], [], [], []
         for lang, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             lang = model.language(lang)
+            if lang not in scorers and lang in model.tables:
+                scorers[lang] = Scores(model.tables[lang], model.order)
             found = scorers[lang].text(text.as_py() or "") if lang in scorers else None
             top = model.limit(lang)
             mean.append(found and math.exp(found[0]))
@@ -223,9 +247,8 @@ def fit(trusted: DataFrame, order: int = ORDER) -> Classifier:
     A missing language counts for the pooled model, which all trusted text trains. Ties with a limit are kept. Documents
     without words (null, empty, blank) have null perplexities and are kept.
     """
-    words = stage(word_counts(trusted), "words")
     while True:
-        raw = stage(gram_counts(words, order), "grams")
+        raw = stage(gram_counts(trusted, order), "grams")
         if order == 2 or raw.count() <= MODEL_GRAMS // 2:
             break
         order -= 1

@@ -1,9 +1,12 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import math
+import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -202,6 +205,48 @@ def test_quality(spark):
     assert got[1]["keep"] and not got[2]["keep"] and got[3]["keep"] and got[4]["keep"] and got[5]["keep"] and got[4]["perplexity"] is None
 
 
+def plain_grams(text, order):
+    for word in quality.normal(text).split():
+        padded = f" {word} "
+        yield [padded[max(0, i - order + 1) : i + 1] for i in range(1, len(padded))]
+
+
+def test_gram_counts_match_plain_counting(spark):
+    texts = [("en", "The cat\nsat on 1999 mats"), ("en", "the CAT"), ("fr", "été \U0001f600 \0 x"), (None, "the été"), ("fr", None), ("en", "")]
+    got = {(r["lang"], r["gram"]): r["n"] for r in quality.gram_counts(spark.createDataFrame(texts, "lang string, text string"), 4).collect()}
+    want = Counter()
+    for lang, text in texts:
+        for grams in plain_grams(text or "", 4):
+            for key in {lang or quality.POOLED, quality.POOLED}:
+                want.update((key, g) for g in grams)
+    assert got == want
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_text_scores_match_plain_backoff(order):
+    rng, letters = random.Random(order), "abcdeéß0 Ωx"
+    table = {"": (0.01, None)}
+    for _ in range(2000):
+        gram = "".join(rng.choice(letters) for _ in range(rng.randint(1, order)))
+        table[gram] = (rng.random(), rng.choice([None, rng.random()]))
+
+    def cost(gram):
+        if gram in table or not gram:
+            return -math.log(table[gram][0])
+        return cost(gram[1:]) - math.log((table.get(gram[:-1]) or (0, 1.0))[1] or 1.0)
+
+    scores = quality.Scores(table, order)
+    for _ in range(100):
+        text = "".join(rng.choice(letters + "\n9A\0\U0001f600\t") for _ in range(rng.randint(0, 300)))
+        words = [(sum(map(cost, grams)), len(grams)) for grams in plain_grams(text, order)]
+        if not words:
+            assert scores.text(text) is None
+            continue
+        worst = sorted(c / n for c, n in words)[-max(1, round(quality.WORST * len(words))) :]
+        want = sum(c for c, _ in words) / sum(n for _, n in words), sum(worst) / len(worst)
+        assert scores.text(text) == pytest.approx(want, rel=1e-6)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     items = spark.createDataFrame([], "item_id long, text string")
