@@ -110,12 +110,15 @@ def probabilities(raw: DataFrame, order: int) -> DataFrame:
     lower, backs = None, None
     for k in range(1, order + 1):
         table = tables[k]
-        few = table.groupBy("lang").agg(*[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        few = table.groupBy("lang").agg(
+            F.count("*").alias("kinds"), *[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
+        )
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         cuts = [F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.01)).alias(f"d{i}") for i in (1, 2, 3)]
+        few = when_small(stage(few.select("lang", "kinds", *cuts), "discounts"), 64)
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         cut = F.least(cut, F.col("n") * 0.99)
-        rows = table.join(few.select("lang", *cuts), "lang").select(
+        rows = table.join(few, "lang").select(
             "lang", "gram", "n", cut.alias("cut"), F.col("gram").substr(F.lit(1), F.lit(k - 1)).alias("context")
         )
         sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
@@ -123,7 +126,7 @@ def probabilities(raw: DataFrame, order: int) -> DataFrame:
         rows = rows.join(sums, ["lang", "context"])
         own = (F.col("n") - F.col("cut")) / F.col("total")
         if k == 1:
-            kinds = few.select("lang").join(table.groupBy("lang").agg(F.count("*").alias("kinds")), "lang")
+            kinds = few.select("lang", "kinds")
             made = rows.join(kinds, "lang").withColumn("p", own + F.col("back") / (F.col("kinds") + 1))
             made = made.select("lang", "gram", "p")
             unknown = sums.join(kinds, "lang").select("lang", F.lit("").alias("gram"), (1 / (F.col("kinds") + 1)).alias("p"))
