@@ -35,7 +35,8 @@ SKETCH = 16
 WIDE = 1000
 #: Shingles per segment, for the largest sets of a band, that the allocation chooses from.
 LOADS = (1.6, 1.8, 2.0, 2.2, 2.4, 2.6, 2.8)
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 17
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,21 +74,28 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def shingle_sets(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, bytes]]:
     """For each text its sorted distinct shingle hashes and a digest of its words."""
     hashes, row, start, stop = word_hashes(raw, ends)
-    bounds = np.searchsorted(row, np.arange(len(ends) + 1))
-    low = _LOWER[raw]
-    keep = ~_BREAKS[low]
-    low = np.where(keep, low, 32).astype(np.uint8)
-    for i in range(len(ends)):
-        a, b = bounds[i], bounds[i + 1]
+    bounds = np.searchsorted(row, np.arange(len(ends) + 1)).tolist()
+    windows = np.zeros(max(len(hashes) - SHINGLE + 1, 0), np.uint64)
+    for j in range(SHINGLE):
+        windows = windows * _STEP + hashes[j : j + len(windows)]
+    windows = _mix(windows)
+    # the words with one space between them, all texts in a row
+    kept = ~_BREAKS[raw]
+    low = np.where(kept, _LOWER[raw], 32).astype(np.uint8)
+    kept[stop[stop < len(raw)]] = True
+    line = memoryview(low[kept].tobytes())
+    place = np.cumsum(kept)
+    for a, b in zip(bounds, bounds[1:]):
         if a == b:
             yield np.zeros(0, np.uint64), b""
             continue
-        own = hashes[a:b]
-        n = max(b - a - SHINGLE + 1, 1)
-        acc = np.full(n, min(b - a, SHINGLE), np.uint64)
-        for j in range(min(b - a, SHINGLE)):
-            acc = _mix(acc + own[j : j + n])
-        yield np.unique(acc), hashlib.blake2b(b" ".join(low[start[a] : stop[b - 1]].tobytes().split()), digest_size=16).digest()
+        if b - a < SHINGLE:
+            own = np.full(1, b - a, np.uint64)
+            for j in range(a, b):
+                own = _mix(own + hashes[j])
+        else:
+            own = np.unique(windows[a : b - SHINGLE + 1])
+        yield own, hashlib.blake2b(line[place[start[a]] - 1 : place[stop[b - 1] - 1]], digest_size=16).digest()
 
 
 def band(n: int) -> int:
