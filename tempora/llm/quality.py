@@ -3,8 +3,7 @@
 A text's words are lower-cased, digits become 0, and each word is padded by a space on both sides; the model predicts a
 word's characters from up to ORDER - 1 before them. Counts are gathered from every trusted text: n-grams are counted per
 task and summed by key, and each order's table is joined by key with its contexts and with the
-next lower order. The finished table is small (its size is checked, and the order is lowered while it is above
-MODEL_GRAMS) and goes to every task, where a gram's cost is worked out once and texts are scored as arrays.
+next lower order. The finished table goes to every task, where a gram's cost is worked out once and texts are scored as arrays.
 
 A document has two perplexities per character: of the whole text, and of the worst 2 % of its words, where slurs, keys
 and markup stand out that a mean hides. Each is held against a quantile of the trusted documents of its language.
@@ -27,7 +26,6 @@ from tempora.session import stage
 
 #: At most 4, so that a gram fits in 64 bits.
 ORDER = 4
-MODEL_GRAMS = 2_000_000
 #: Share of a document's words that count as its worst.
 WORST = 0.02
 #: Quantiles of trusted documents above which a document is rejected.
@@ -250,11 +248,7 @@ def fit(trusted: DataFrame, order: int = ORDER) -> Classifier:
     A missing language counts for the pooled model, which all trusted text trains. Ties with a limit are kept. Documents
     without words (null, empty, blank) have null perplexities and are kept.
     """
-    while True:
-        raw = stage(gram_counts(trusted, order), "grams")
-        if order == 2 or raw.count() <= MODEL_GRAMS // 2:
-            break
-        order -= 1
+    raw = stage(gram_counts(trusted, order), "grams")
     tables: dict[str, dict] = {}
     for r in stage(probabilities(raw, order), "model").toLocalIterator():
         tables.setdefault(r["lang"], {})[r["gram"]] = (r["p"], r["back"])

@@ -1,0 +1,7 @@
+from tempora.llm import quality
+
+
+def test_the_order_does_not_depend_on_the_number_of_grams(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MODEL_GRAMS", 2, raising=False)
+    model = quality.fit(spark.createDataFrame([("en", "several different words")], "lang string, text string"))
+    assert model.order == quality.ORDER
