@@ -3,7 +3,8 @@
 A text's words are lower-cased, digits become 0, and each word is padded by a space on both sides; the model predicts a
 word's characters from up to ORDER - 1 before them. Counts are gathered from every trusted text: n-grams are counted per
 task and summed by key, and each order's table is joined by key with its contexts and with the
-next lower order. The finished table goes to every task, where a gram's cost is worked out once and texts are scored as arrays.
+next lower order. The finished table stays on Spark: the grams of every different word are joined by key with it, those
+it lacks with each lower order, and the words of a text with their costs, which are summed per document.
 
 A document has two perplexities per character: of the whole text, and of the worst 2 % of its words, where slurs, keys
 and markup stand out that a mean hides. Each is held against a quantile of the trusted documents of its language.
@@ -11,6 +12,7 @@ and markup stand out that a mean hides. Each is held against a quantile of the t
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -26,6 +28,8 @@ from tempora.session import stage
 
 #: At most 4, so that a gram fits in 64 bits.
 ORDER = 4
+#: Parts of a nat in which costs are counted.
+FINE = 1 << 24
 #: Share of a document's words that count as its worst.
 WORST = 0.02
 #: Quantiles of trusted documents above which a document is rejected.
@@ -162,7 +166,7 @@ class Costs(dict):
 
 
 class Scores:
-    """Text scores under one language's table. Costs of recent grams stand in an array; others are looked up."""
+    """Text scores under one language's table in this process, which the joins of ``score`` are held against."""
 
     def __init__(self, table: dict[str, tuple[float, float]], order: int):
         self.costs, self.order = Costs(table), order
@@ -198,11 +202,19 @@ class Scores:
 
 
 class Classifier:
-    def __init__(self, tables: dict[str, dict], order: int):
-        self.tables, self.order, self.limits = tables, order, {}
-
-    def language(self, lang: str | None) -> str:
-        return lang if lang in self.tables else POOLED
+    """``table(lang, gram, p, back)`` stays on Spark; the languages and their limits are few."""
+
+    def __init__(self, table: DataFrame, order: int):
+        self.table, self.order, self.limits = table, order, {}
+        self.languages = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+
+    @property
+    def tables(self) -> dict[str, dict]:
+        """The table as dictionaries, to look at a small model; nothing is scored with it."""
+        out: dict[str, dict] = {}
+        for r in self.table.toLocalIterator():
+            out.setdefault(r["lang"], {})[r["gram"]] = (r["p"], r["back"])
+        return out
 
     def limit(self, lang: str) -> tuple[float, float]:
         """A language without trusted documents of its own takes the most lenient limits."""
@@ -211,35 +223,148 @@ class Classifier:
         return tuple(max(x) for x in zip(*self.limits.values(), strict=True)) if self.limits else (math.inf, math.inf)
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    model: Classifier = shared.value
-    scorers: dict[str, Scores] = {}
+class WordIds(dict):
+    """A word's id in its language, 64 bits; ``new`` holds the words whose ids were worked out since it was emptied."""
+
+    def __init__(self, lang: str):
+        super().__init__()
+        self.start, self.new = hashlib.blake2b(lang.encode() + b"\0", digest_size=8), []
+
+    def __missing__(self, word: str) -> int:
+        made = self.start.copy()
+        made.update(word.encode("utf-8", "surrogatepass"))
+        self[word] = number = int.from_bytes(made.digest(), "little", signed=True)
+        self.new.append(word)
+        return number
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, wid, word) of (lang, text); a word that this task has met lately is not given again."""
+    met: dict[str, WordIds] = {}
     for batch in batches:
-        mean, worst, keep, used = [], [], [], []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = met.setdefault(lang, WordIds(lang))
+            for word in set(normal(text.as_py()).split()):
+                ids[word]
+        for lang, ids in met.items():
+            if ids.new:
+                numbers = [ids[w] for w in ids.new]
+                columns = [pa.array([lang] * len(numbers), pa.string()), pa.array(numbers, pa.int64()), pa.array(ids.new, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "wid", "word"])
+                ids.new = []
+            if len(ids) > TABLE:
+                ids.clear()
+
+
+def _word_grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """(lang, wid, gram) of every character of (lang, wid, word) and of its closing space."""
+    for batch in batches:
+        words = batch.column(2).to_pylist()
+        if not words:
+            continue
+        numbers, space = gram_numbers(words, order)
+        owner = np.cumsum(space) - space
+        kinds, which = np.unique(numbers, return_inverse=True)
+        grams = pa.array(map(gram_of, kinds.tolist()), pa.string())
+        for lo in range(0, len(owner), TABLE):
+            own = pa.array(owner[lo : lo + TABLE])
+            columns = [batch.column(0).take(own), batch.column(1).take(own), grams.take(pa.array(which[lo : lo + TABLE]))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "wid", "gram"])
+
+
+def _text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, wids, times) of (row, lang, text): the different words of a text and how often each stands there."""
+    met: dict[str, WordIds] = {}
+    for batch in batches:
+        wids, times, ends = [], [], [0]
         for lang, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            lang = model.language(lang)
-            if lang not in scorers and lang in model.tables:
-                scorers[lang] = Scores(model.tables[lang], model.order)
-            found = scorers[lang].text(text.as_py() or "") if lang in scorers else None
-            top = model.limit(lang)
-            mean.append(found and math.exp(found[0]))
-            worst.append(found and math.exp(found[1]))
-            keep.append(found is None or (mean[-1] <= top[0] and worst[-1] <= top[1]))
-            used.append(lang)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(used, pa.string()), pa.array(mean, pa.float64()), pa.array(worst, pa.float64()), pa.array(keep, pa.bool_())],
-            ["row", "model", "perplexity", "worst_perplexity", "keep"],
-        )
+            ids = met.setdefault(lang, WordIds(lang))
+            counts = Counter(normal(text.as_py()).split())
+            wids.extend(map(ids.__getitem__, counts))
+            times.extend(counts.values())
+            ends.append(len(wids))
+            if len(ids) > TABLE:
+                ids.clear()
+            ids.new = []
+        ends = pa.array(ends, pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (wids, times)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["row", "wids", "times"])
+
+
+def gram_costs(grams: DataFrame, model: Classifier) -> DataFrame:
+    """(lang, gram, cost) of ``grams(lang, gram)``: surprisal of the last character in units of 1 / FINE nats, backed off
+    through a join by each lower order; whole numbers, so that sums do not depend on their order.
+    """
+    known = model.table.filter("p is not null").select("lang", F.col("gram").alias("short"), "p")
+    backs = model.table.filter("back > 0").select("lang", F.col("gram").alias("context"), "back")
+    open_, done = grams.select("lang", "gram", F.col("gram").alias("short"), F.lit(1.0).alias("weight")), None
+    for k in range(model.order, -1, -1):
+        met = open_.join(known, ["lang", "short"], "left")
+        met = stage(met, "backed_off") if k else met
+        found = met if k == 0 else met.filter("p is not null or short = ''")
+        found = found.select("lang", "gram", F.greatest(F.col("weight") * F.coalesce("p", F.lit(1e-6)), F.lit(1e-12)).alias("p"))
+        done = found if done is None else done.union(found)
+        if k:
+            rest = met.filter("p is null and short <> ''").withColumn("context", F.expr("left(short, length(short) - 1)"))
+            rest = rest.join(backs, ["lang", "context"], "left")
+            open_ = rest.select("lang", "gram", F.expr("substr(short, 2)").alias("short"), (F.col("weight") * F.coalesce("back", F.lit(1.0))).alias("weight"))
+    return done.select("lang", "gram", F.round(-F.log("p") * FINE).cast("long").alias("cost"))
+
+
+def word_costs(rows: DataFrame, model: Classifier) -> DataFrame:
+    """(wid, cost, size) of every word of ``rows(lang, text)``; size is in characters, the closing space included."""
+    words = rows.select("lang", "text").mapInArrow(_vocabulary, "lang string, wid long, word string").distinct()
+    words = stage(words, "words")
+    if not words.groupBy("wid").count().filter("count > 1").isEmpty():
+        raise ValueError("two words share an id")
+    spelled = stage(words.mapInArrow(lambda b, k=model.order: _word_grams(b, k), "lang string, wid long, gram string"), "word_grams")
+    costs = when_small(stage(gram_costs(spelled.select("lang", "gram").distinct(), model), "gram_costs"), 48)
+    costed = spelled.join(costs, ["lang", "gram"]).groupBy("wid")
+    return stage(costed.agg(F.sum("cost").alias("cost"), F.count("*").alias("size")), "word_costs")
 
 
 def score(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
-    """Struct ``row`` of the named columns (default: all) with model, perplexity, worst_perplexity and keep."""
-    row = F.struct(*(keep or ["*"])).alias("row")
-    rows = docs.select(row, "lang", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema["row"].dataType.simpleString()
-    out = f"row {kind}, model string, perplexity double, worst_perplexity double, keep boolean"
-    return rows.mapInArrow(lambda b: _score(b, shared), out)
+    """Struct ``row`` of the named columns (default: all) with model, perplexity, worst_perplexity and keep.
+
+    A word's cost depends on the word alone, so the grams of each different word are joined with the model's table, the
+    words of the texts with their costs, and the costs summed per text.
+    """
+    spark = docs.sparkSession
+    used = F.when(F.col("lang").isin(model.languages), F.col("lang")).otherwise(F.lit(POOLED)) if model.languages else F.lit(POOLED)
+    # two hashes with different seeds tell texts apart
+    prints = {"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), "text")}
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), used.alias("model"), *[c.alias(k) for k, c in prints.items()])
+    if not model.languages:
+        none = F.lit(None).cast("double")
+        return rows.select("row", "model", none.alias("perplexity"), none.alias("worst_perplexity"), F.lit(True).alias("keep"))
+    texts = docs.filter("text is not null").select(used.alias("lang"), "text")
+    costs = when_small(word_costs(texts, model), 32)
+    at = F.struct(F.monotonically_increasing_id().alias("n"), F.col("lang").alias("model"), *[c.alias(k) for k, c in prints.items()])
+    cut = texts.select(at.alias("row"), "lang", "text")
+    cut = cut.mapInArrow(_text_words, "row struct<n: long, model: string, _a: long, _b: long>, wids array<long>, times array<long>")
+    each = cut.select("row", F.inline(F.arrays_zip(F.col("wids").alias("wid"), F.col("times").alias("times"))))
+    each = each.toDF("row", "wid", "times").join(costs, "wid")
+    rate = (F.col("cost") / F.col("size")).cast("float")
+    sums = each.groupBy("row").agg(
+        F.sum(F.col("cost") * F.col("times")).alias("cost"), F.sum(F.col("size") * F.col("times")).alias("size"),
+        F.sum("times").alias("words"), F.collect_list(F.struct(rate.alias("rate"), F.col("times").cast("int").alias("times"))).alias("rates"),
+    )
+    k = F.greatest(F.bround(F.col("words") * WORST), F.lit(1)).cast("int")
+    top = F.slice(F.sort_array("rates", asc=False), 1, k)
+    start = F.struct(k.alias("left"), F.lit(0.0).alias("sum"))
+
+    def add(acc, x):
+        took = F.least(acc["left"], x["times"])
+        return F.struct((acc["left"] - took).alias("left"), (acc["sum"] + took * x["rate"]).alias("sum"))
+
+    worst = F.aggregate(top, start, add)["sum"] / k
+    found = sums.select("row.model", "row._a", "row._b", F.exp(F.col("cost") / F.col("size") / FINE).alias("perplexity"), F.exp(worst / FINE).alias("worst_perplexity"))
+    found = found.groupBy("model", "_a", "_b").agg(F.max("perplexity").alias("perplexity"), F.max("worst_perplexity").alias("worst_perplexity"))
+    found = when_small(stage(found, "scores"), 48)
+    tops = spark.createDataFrame([(x, *map(float, model.limit(x))) for x in model.languages], "model string, top_mean double, top_worst double")
+    rows = rows.join(found, ["model", "_a", "_b"], "left").join(when_small(tops, 48), "model", "left")
+    fits = (F.col("perplexity") <= F.col("top_mean")) & (F.col("worst_perplexity") <= F.col("top_worst"))
+    return rows.select("row", "model", "perplexity", "worst_perplexity", F.coalesce(fits, F.lit(True)).alias("keep"))
 
 
 def fit(trusted: DataFrame, order: int = ORDER) -> Classifier:
@@ -249,10 +374,7 @@ def fit(trusted: DataFrame, order: int = ORDER) -> Classifier:
     without words (null, empty, blank) have null perplexities and are kept.
     """
     raw = stage(gram_counts(trusted, order), "grams")
-    tables: dict[str, dict] = {}
-    for r in stage(probabilities(raw, order), "model").toLocalIterator():
-        tables.setdefault(r["lang"], {})[r["gram"]] = (r["p"], r["back"])
-    model = Classifier(tables, order)
+    model = Classifier(stage(probabilities(raw, order), "model"), order)
     seen = score(trusted, model, "lang").filter("perplexity is not null").groupBy("model")
     limits = seen.agg(
         F.percentile_approx("perplexity", MEAN_QUANTILE, 10_000).alias("mean"),
