@@ -7,8 +7,9 @@ lists: greedily from the medoid towards the query, and then on through every vec
 as cosines in double precision; a pair is counted by the first shard that holds both. Recall is audited on a set of
 queries against all vectors; below MIN_RECALL the overlap is raised and the search runs again.
 
-Equal vectors are one class with a multiplicity, so a vector that repeats without end costs one place. Crowded shards
-are cut further by more centroids, never by leaving rows out.
+Equal vectors are one class with a multiplicity, so a vector that repeats without end costs one place. A shard
+above CROWD rows is dealt in blocks, and every two of its blocks are compared whole in a task of their own; no row is
+left out.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import components
+from tempora.llm.common import components, when_small
 from tempora.session import stage
 
 COSINE = 0.9
@@ -31,6 +32,9 @@ DEGREE = 24
 ALPHA = 1.2
 BEAM = 24
 BATCH = 128
+#: Rows above which a shard is compared by pairs of blocks, and rows of a block on average.
+CROWD = 1800
+BLOCK = 600
 #: Cosines this far below the threshold are still walked through.
 SLACK = 0.08
 AUDIT = 256
@@ -177,7 +181,11 @@ def _shard_links(table: pa.Table, cosine: float) -> pa.Table:
         lowest = np.where(common.any(2), shards[at], np.iinfo(np.int64).max).min(1)
         mine = lowest == here
         np.add.at(links, at[mine], weight[to[mine]])
-        for a, b in zip(at[mine].tolist(), to[mine].tolist(), strict=True):
+        # pairs whose ends are joined already are passed over at once
+        while (root[root] != root).any():
+            root = root[root]
+        ends = np.stack([root[at[mine]], root[to[mine]]])
+        for a, b in np.unique(ends[:, ends[0] != ends[1]], axis=1).T.tolist():
             x, y = find(a), find(b)
             if x != y:
                 root[max(x, y)] = min(x, y)
@@ -185,6 +193,45 @@ def _shard_links(table: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"vec": ids, "links": links, "root": ids[roots] if n else ids})
 
 
+def _block_links(table: pa.Table, cosine: float) -> pa.Table:
+    """As _shard_links, of all pairs between two blocks of a crowded shard (or inside one)."""
+    ids, vectors = table.column("vec").to_numpy(), _matrix(table.column("unit"))
+    order = np.argsort(ids)
+    ids, vectors = ids[order], vectors[order]
+    shards = _matrix(table.column("shards"))[order].astype(np.int64)
+    here, low, high = (table.column(c)[0].as_py() for c in ("shard", "low", "high"))
+    weight, block = table.column("times").to_numpy()[order], table.column("block").to_numpy()[order]
+    n = len(ids)
+    near = np.zeros((n, n), bool)
+    for lo in range(0, n, BATCH):
+        at, to = np.nonzero(vectors[lo : lo + BATCH] @ vectors.T >= cosine - 1e-9)
+        at = at + lo
+        other = (at != to) & ((low == high) | (block[at] != block[to]))
+        at, to = at[other], to[other]
+        # a pair belongs to the first shard that holds both
+        common = (shards[at][:, :, None] == shards[to][:, None, :]).any(2)
+        mine = np.where(common, shards[at], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == here
+        at, to = at[mine], to[mine]
+        exact = np.einsum("kd,kd->k", vectors[at], vectors[to]) >= cosine
+        near[at[exact], to[exact]] = True
+    root = np.full(n, -1)
+    for i in range(n):
+        front = np.array([i]) if root[i] < 0 else np.zeros(0, int)
+        while len(front):
+            root[front] = i
+            front = np.flatnonzero(near[front].any(0) & (root < 0))
+    return pa.table({"vec": ids, "links": near @ weight, "root": ids[root]})
+
+
+def block_pairs(members: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows of ``members(vec, shard, ..)`` in the shards of ``crowded(shard, blocks)``, once for each pair (low, high) of
+    blocks that their own block is in.
+    """
+    rows = members.join(crowded, "shard").withColumn("block", F.pmod(F.xxhash64("vec", F.lit("block")), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
+
+
 def _assign(batches: Iterator[pa.RecordBatch], shared, overlap: int) -> Iterator[pa.RecordBatch]:
     """Adds the shards of each vector, nearest first."""
     means = shared.value
@@ -228,14 +275,19 @@ def search_links(classes: DataFrame, means: np.ndarray, overlap: int, cosine: fl
     kind = "vec long, times long, unit array<double>, shards array<long>"
     dealt = stage(classes.mapInArrow(lambda b: _assign(b, shared, overlap), kind), "assigned")
     members = dealt.select("*", F.explode("shards").alias("shard"))
-    edges = members.select("shard", "vec", "unit").groupBy("shard").applyInArrow(_graph, "src long, dst long")
+    sizes = members.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    crowded = when_small(stage(sizes.select("shard", F.ceil(F.col("n") / BLOCK).alias("blocks")), "crowded"), 16)
+    edges = members.join(crowded, "shard", "left_anti")
+    edges = edges.select("shard", "vec", "unit").groupBy("shard").applyInArrow(_graph, "src long, dst long")
     united = stage(edges.groupBy("src").agg(F.collect_set("dst").alias("adj")), "adjacency")
     # a list has DEGREE entries of its own from each shard and those that point back at it
     full = dealt.join(united, F.col("vec") == F.col("src"), "left")
     full = full.select("vec", "times", "unit", "shards", F.coalesce("adj", F.array().cast("array<long>")).alias("adj"))
-    full = full.withColumn("shard", F.explode("shards"))
-    found = full.groupBy("shard").applyInArrow(lambda t: _shard_links(t, cosine), "vec long, links long, root long")
-    return stage(found, "vector_links")
+    full = full.withColumn("shard", F.explode("shards")).join(crowded, "shard", "left_anti")
+    out = "vec long, links long, root long"
+    found = full.groupBy("shard").applyInArrow(lambda t: _shard_links(t, cosine), out)
+    blocks = block_pairs(members, crowded).groupBy("shard", "low", "high").applyInArrow(lambda t: _block_links(t, cosine), out)
+    return stage(found.union(blocks), "vector_links")
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
