@@ -4,8 +4,9 @@ Centroids are fitted on a bounded sample. Every vector goes to its OVERLAP neare
 share a shard. Each shard prunes a graph of its vectors (a neighbour is kept only if no kept neighbour is closer to it by
 the factor ALPHA), the adjacency lists of a vector are united over its shards, and each shard is searched along the united
 lists: greedily from the medoid towards the query, and then on through every vector in range. Pairs in range are verified
-as cosines in double precision; a pair is counted by the first shard that holds both. Recall is audited on a set of
-queries against all vectors; below MIN_RECALL the overlap is raised and the search runs again.
+as cosines in double precision; a pair is counted by the first shard that holds both. Recall is audited on
+queries against all vectors, by distinct pairs; below MIN_RECALL the overlap is raised and the search runs again. Where
+too few queries have a partner to tell, it is raised until the search itself finds hardly any more pairs.
 
 Equal vectors are one class with a multiplicity, so a vector that repeats without end costs one place. A shard
 above CROWD rows is dealt in blocks, and every two of its blocks are compared whole in a task of their own; no row is
@@ -14,6 +15,7 @@ left out.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from tempora.llm.common import components, when_small
 from tempora.session import stage
 
+_LOG = logging.getLogger(__name__)
+
 COSINE = 0.9
 SHARD = 600
 SAMPLE = 40_000
@@ -38,6 +42,9 @@ BLOCK = 600
 #: Cosines this far below the threshold are still walked through.
 SLACK = 0.08
 AUDIT = 256
+#: Queries with partners that an audit needs, and further queries when the first have fewer.
+EVIDENCE = 30
+MORE_AUDIT = 4096
 MIN_RECALL = 0.95
 
 
@@ -159,7 +166,7 @@ def _shard_links(table: pa.Table, cosine: float) -> pa.Table:
     neighbours = np.full((n, width), -1)
     neighbours[owner, np.arange(len(owner)) - first[owner]] = place
     start = int((vectors @ vectors.mean(0)).argmax())
-    links, root = np.zeros(n, np.int64), np.arange(n)
+    links, pairs, root = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -181,6 +188,7 @@ def _shard_links(table: pa.Table, cosine: float) -> pa.Table:
         lowest = np.where(common.any(2), shards[at], np.iinfo(np.int64).max).min(1)
         mine = lowest == here
         np.add.at(links, at[mine], weight[to[mine]])
+        np.add.at(pairs, at[mine], 1)
         # pairs whose ends are joined already are passed over at once
         while (root[root] != root).any():
             root = root[root]
@@ -190,7 +198,7 @@ def _shard_links(table: pa.Table, cosine: float) -> pa.Table:
             if x != y:
                 root[max(x, y)] = min(x, y)
     roots = np.array([find(i) for i in range(n)], np.int64) if n else root
-    return pa.table({"vec": ids, "links": links, "root": ids[roots] if n else ids})
+    return pa.table({"vec": ids, "links": links, "pairs": pairs, "root": ids[roots] if n else ids})
 
 
 def _block_links(table: pa.Table, cosine: float) -> pa.Table:
@@ -220,7 +228,7 @@ def _block_links(table: pa.Table, cosine: float) -> pa.Table:
         while len(front):
             root[front] = i
             front = np.flatnonzero(near[front].any(0) & (root < 0))
-    return pa.table({"vec": ids, "links": near @ weight, "root": ids[root]})
+    return pa.table({"vec": ids, "links": near @ weight, "pairs": near.sum(1), "root": ids[root]})
 
 
 def block_pairs(members: DataFrame, crowded: DataFrame) -> DataFrame:
@@ -256,7 +264,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _audit(batches: Iterator[pa.RecordBatch], shared, cosine: float) -> Iterator[pa.RecordBatch]:
-    """Brute force: how many links the audited queries have among a task's vectors."""
+    """Brute force: how many other vectors of a task the audited queries link with, each once whatever its copies."""
     ids, queries = shared.value
     sums = np.zeros(len(ids), np.int64)
     for batch in batches:
@@ -264,12 +272,45 @@ def _audit(batches: Iterator[pa.RecordBatch], shared, cosine: float) -> Iterator
             vectors = _matrix(batch.column(2))
             hit = queries @ vectors.T >= cosine
             hit &= ids[:, None] != batch.column(0).to_numpy()[None, :]
-            sums += hit @ batch.column(1).to_numpy()
+            sums += hit.sum(1)
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], ["vec", "found"])
 
 
+def audit(own: DataFrame, cosine: float) -> dict[int, int]:
+    """Queries of ``own(vec, times, unit)`` with the number of distinct vectors that each links with."""
+    truth: dict[int, int] = {}
+    for most in (AUDIT, MORE_AUDIT):
+        asked = own.orderBy(F.xxhash64("vec", F.lit("audit"))).limit(most).collect()
+        asked = [r for r in asked if r["vec"] not in truth]
+        if not asked or sum(n > 0 for n in truth.values()) >= EVIDENCE:
+            break
+        ids, queries = np.array([r["vec"] for r in asked]), np.array([r["unit"] for r in asked])
+        shared = own.sparkSession.sparkContext.broadcast((ids, queries))
+        found = own.mapInArrow(lambda b, s=shared: _audit(b, s, cosine), "vec long, found long").groupBy("vec").agg(F.sum("found").alias("found"))
+        truth |= {r["vec"]: r["found"] for r in found.collect()}
+    return truth
+
+
+def audited_links(own: DataFrame, means: np.ndarray, overlap: int, cosine: float) -> DataFrame:
+    """Links at the first overlap that the audit, or for want of partners the search at half the overlap, bears out."""
+    truth = audit(own, cosine)
+    there, enough = sum(truth.values()), sum(n > 0 for n in truth.values()) >= EVIDENCE
+    asked = own.sparkSession.createDataFrame([(x,) for x in truth], "vec long")
+    before = None
+    while True:
+        links = search_links(own, means, overlap, cosine)
+        total = links.agg(F.sum("pairs")).first()[0] or 0
+        seen = links.join(asked, "vec", "left_semi").agg(F.sum("pairs")).first()[0] or 0
+        found = seen >= MIN_RECALL * there
+        steady = enough or before is not None and before >= MIN_RECALL * total
+        _LOG.info("overlap %d: %d of %d audited pairs, %d pairs in all", overlap, seen, there, total)
+        if found and steady or overlap >= len(means):
+            return links
+        before, overlap = total, overlap * 2
+
+
 def search_links(classes: DataFrame, means: np.ndarray, overlap: int, cosine: float) -> DataFrame:
-    """(vec, links, root) rows of every shard's search over ``classes(vec, times, unit)``."""
+    """(vec, links, pairs, root) rows of every shard's search over ``classes(vec, times, unit)``."""
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(means)
     kind = "vec long, times long, unit array<double>, shards array<long>"
@@ -284,7 +325,7 @@ def search_links(classes: DataFrame, means: np.ndarray, overlap: int, cosine: fl
     full = dealt.join(united, F.col("vec") == F.col("src"), "left")
     full = full.select("vec", "times", "unit", "shards", F.coalesce("adj", F.array().cast("array<long>")).alias("adj"))
     full = full.withColumn("shard", F.explode("shards")).join(crowded, "shard", "left_anti")
-    out = "vec long, links long, root long"
+    out = "vec long, links long, pairs long, root long"
     found = full.groupBy("shard").applyInArrow(lambda t: _shard_links(t, cosine), out)
     blocks = block_pairs(members, crowded).groupBy("shard", "low", "high").applyInArrow(lambda t: _block_links(t, cosine), out)
     return stage(found.union(blocks), "vector_links")
@@ -297,7 +338,6 @@ def link(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) ->
     Vectors of another length than most are compared with those of their length only. Equal vectors are linked with each
     other. A null id is linked, and names a component only when all its ids are null. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("e"))
     fine = F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = fine & F.exists("e", lambda x: x != 0)
@@ -316,19 +356,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) ->
         drawn = own.filter(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("vec"))
         sample = np.array([r["unit"] for r in drawn.select("unit").limit(SAMPLE).collect()]).reshape(-1, dim)
         means = centroids(sample, -(-n // SHARD) if n > SHARD else 1)
-        asked = own.orderBy(F.xxhash64("vec", F.lit("audit"))).limit(AUDIT).collect()
-        ids, queries = np.array([r["vec"] for r in asked]), np.array([r["unit"] for r in asked])
-        shared = spark.sparkContext.broadcast((ids, queries))
-        truth = own.mapInArrow(lambda b, s=shared: _audit(b, s, cosine), "vec long, found long").groupBy("vec").agg(F.sum("found").alias("found"))
-        truth = {r["vec"]: r["found"] for r in truth.collect()}
-        width = overlap
-        while True:
-            links = search_links(own, means, width, cosine)
-            got = links.filter(F.col("vec").isin(ids.tolist())).groupBy("vec").agg(F.sum("links").alias("links")).collect()
-            seen, there = sum(r["links"] for r in got), sum(truth.values())
-            if seen >= MIN_RECALL * there or width >= len(means):
-                break
-            width *= 2
+        links = audited_links(own, means, overlap, cosine)
         found = links if found is None else found.union(links)
     if found is None:
         none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
