@@ -34,14 +34,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the smallest id. Rows that repeat an id and a text are one."""
-    linked = stage(jaccard.link(docs.select("doc_id", "text")), "linked")
-    stay = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(_key(F.col("doc_id")).alias("_key"), F.col("text_print").alias("_print"))
-    keys = stage(stay.distinct(), "staying")
+    """One document of each component of near copies: the smallest id, then text fingerprint; null ids come last. Rows that
+    repeat an id and a text are one, and a text without words is alone.
+    """
+    linked = jaccard.link_keyed(docs.select("doc_id", "text"))
+    linked = stage(linked.select(_key(F.col("doc_id")).alias("_key"), F.col("text_print").alias("_print"), F.col("doc_id").isNull().alias("no_id"), "comp"), "linked")
+    each = linked.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("no_id", "_key", "_print")).alias("s"))
+    alone = linked.filter("comp is null").select("_key", "_print")
+    keys = stage(each.select("s._key", "s._print").union(alone).distinct(), "staying")
     rows = docs.select(F.struct("*").alias("row"), _key(F.col("doc_id")).alias("_key"), fingerprint(F.col("text")).alias("_print"))
     rows = rows.join(when_small(keys, 24), ["_key", "_print"], "left_semi")
-    if keys.count() < stay.count():
+    again = linked.join(when_small(keys, 24), ["_key", "_print"], "left_semi")
+    if keys.count() < again.count():
         rows = rows.dropDuplicates(["_key", "_print"])
     return rows.select("row.*")
 

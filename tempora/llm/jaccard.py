@@ -269,8 +269,14 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, text_print.
+    """As ``link_keyed``: doc_id, n_shingles, component_id, text_print."""
+    return link_keyed(docs).drop("comp")
 
+
+def link_keyed(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, text_print, comp.
+
+    comp is the component's own key, which null and repeated ids do not blur; rows without a set have none.
     Null, empty and blank texts have no set and are alone. Equal sets of words are one class and linked. Null ids are
     linked but never name a component unless all its ids are null. Rows that repeat get equal results. An empty table
     gives no rows. Links have no cap.
@@ -335,10 +341,10 @@ def link(docs: DataFrame) -> DataFrame:
     named = classes.select("cls", "first_id").join(labels, F.col("cls") == F.col("node"), "left")
     named = named.select("cls", "first_id", F.coalesce("comp", "cls").alias("comp"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = stage(named.join(names, "comp").select("cls", "component_id"), "names")
+    named = stage(named.join(names, "comp").select("cls", "comp", "component_id"), "names")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = described.join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("print").alias("text_print"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("print").alias("text_print"), "comp")
 
 
 def _words_of(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
