@@ -3,7 +3,9 @@
 Every node of a page's tree has a density: its characters per tag, weighed down by the share of link characters and link
 tags in it. A node's sum is the densities of its children; the node with the largest sum holds the main text. The least
 density on the path from it to the body is the page's threshold, and other subtrees that reach it are kept as well.
-Parts that name themselves as something else (menus, forms, adverts, comments, hidden parts, ...) are left out before.
+Parts that name themselves as something else (menus, forms, adverts, comments, hidden parts, ...) are left out before. A
+class or id does so as a whole token only, and never for a part that holds an article or main element or most of the
+page's unlinked text.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ _NOISE = frozenset(
 )
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|side-?bar|widget|"
+    r"(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|side-?bar|widget|"
     r"nav(?:bar|igation)?|menu|bread-?crumbs?|foot(?:er)?|mast-?head|site-?header|page-?header|top-?bar|header|cookies?|"
     r"consent|gdpr|notices?|alert|pop-?up|modal|overlay|newsletter|subscri(?:be|ption)|sign-?up|log-?in|share|sharing|"
     r"social|related|recommend(?:ed|ations)?|comments?|discussion|disqus|respond|replies|reply|pagination|pager|skip|"
-    r"hidden|visually-hidden|sr-only|legal|copyright|disclaimer|toolbar|tags?)(?:$|[\s_-])",
+    r"hidden|visually-hidden|sr-only|legal|copyright|disclaimer|toolbar|tags?)"
+    r"(?:[\s_-](?:box|block|bar|area|list|section|container|wrapper|widget|notice|banner|form|links?|buttons?|unit|slot))?",
     re.I,
 )
 #: A start tag on the left ends an open element on the right.
@@ -51,10 +54,11 @@ _ENDS_P = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "noise", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise, self.parts = tag, parent, noise, []
+        self.named = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -68,13 +72,35 @@ def _noisy(tag: str, attributes: str, inside_article: bool) -> bool:
         value, name = a or b or c, name.lower()
         if hidden or name == "aria-hidden" and value == "true" or name == "role" and value in _NOISE_ROLES:
             return True
-        if name in ("class", "id") and _NOISE_NAMES.search(value):
-            return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def _named(attributes: str) -> bool:
+    """Whether a class or id, as a whole token, names noise."""
+    for name, a, b, c, _ in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id") and any(_NOISE_NAMES.fullmatch(token) for token in (a or b or c).split()):
+            return True
+    return False
+
+
+def _judge(root: Node) -> None:
+    """Makes noise of the parts that are named so, unless they hold an article, main or most of the unlinked text."""
+    nodes = _order(root)
+    if not any(node.named for node in nodes):
+        return
+    plain, holds = {}, set()
+    for node in reversed(nodes):
+        own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+        own += sum(plain[id(p)] for p in node.parts if isinstance(p, Node) and not p.noise)
+        plain[id(node)] = 0 if node.tag == "a" else own
+        if node.tag in ("article", "main") or any(id(p) in holds for p in node.parts if isinstance(p, Node)):
+            holds.add(id(node))
+    for node in nodes:
+        node.noise = node.named and id(node) not in holds and 2 * plain[id(node)] <= plain[id(root)]
+
+
 def tree(html: str) -> Node:
     """A page's tree; wrong, missing and cut-off markup is read leniently, each token once."""
     root = node = Node("body", None)
@@ -110,6 +136,7 @@ def tree(html: str) -> Node:
             if up is not root and up.tag in ends:
                 node = up.parent
         child = Node(tag, node, _noisy(tag, found[3], articles > 0))
+        child.named = not child.noise and tag not in ("article", "main") and bool(found[3].strip()) and _named(found[3])
         node.parts.append(child)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -117,6 +144,7 @@ def tree(html: str) -> Node:
         elif tag not in _VOID and not found[3].rstrip().endswith("/"):
             articles += tag == "article"
             node = child
+    _judge(root)
     return root
 
 
