@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -36,8 +36,14 @@ def report_stream(spark, path):
     return L.with_flags(reports)
 
 
-def feed(table, name, plan, **options):
-    return S.run_feed(table, name, FEED_PARTS, V.WINDOW_START, V.WINDOW_END, plan, **options)
+def hours_between(spark, path):
+    """First and last hour of the calendar, as values; those of the test tables where there are no events."""
+    ends = spark.range(1).select(*[h(spark, path).cast("string") for h in (V.first_hour, V.last_hour)]).first()
+    return tuple(x and datetime.fromisoformat(x) or d for x, d in zip(ends, (V.WINDOW_START, V.WINDOW_END), strict=True))
+
+
+def feed(spark, path, table, name, plan, **options):
+    return S.run_feed(table, name, FEED_PARTS, *hours_between(spark, path), plan, **options)
 
 
 @query(
@@ -65,8 +71,10 @@ def stream_deduplicated(spark, path):
 )
 def stream_trailing_totals(spark, path):
     """Six-hour sums; windows that end after the watermark are still open and do not come out."""
-    written = feed(V.atmos(spark, path), "trailing", lambda h: S.trailing_totals(h, "precipitation", 6, "2 hours"))
-    closed = F.col("timestamp_utc").between(F.lit(V.WINDOW_START), F.lit(datetime(2024, 1, 30, 20)))
+    written = feed(spark, path, V.atmos(spark, path), "trailing", lambda h: S.trailing_totals(h, "precipitation", 6, "2 hours"))
+    first, last = hours_between(spark, path)
+    # a window closes an hour after its own and the watermark's two
+    closed = F.col("timestamp_utc").between(F.lit(first), F.lit(last - timedelta(hours=3)))
     return rounded(written.filter(closed), ["total", "mean"], keep=KEY)
 
 
@@ -76,7 +84,7 @@ def stream_trailing_totals(spark, path):
 )
 def stream_episodes(spark, path):
     positive = labels_of(spark, path).filter(F.col("target") == 1).select(*KEY)
-    return feed(positive, "episodes", lambda h: S.episode_sessions(h, 2, "3 hours")).drop("batch_id")
+    return feed(spark, path, positive, "episodes", lambda h: S.episode_sessions(h, 2, "3 hours")).drop("batch_id")
 
 
 @query(
@@ -88,7 +96,7 @@ def stream_episodes(spark, path):
       WHERE precipitation IS NOT NULL""",
 )
 def stream_history_ring(spark, path):
-    written = feed(V.atmos(spark, path), "ring", lambda h: S.history_ring(h, "precipitation"))
+    written = feed(spark, path, V.atmos(spark, path), "ring", lambda h: S.history_ring(h, "precipitation"))
     return rounded(written, ["sum_24h", "lag_24h"], keep=[*KEY, "history_rows", "ready"])
 
 
@@ -104,7 +112,7 @@ def stream_features(spark, path):
     hours = hours_of(spark, path)
     store = S.HourStore(spark, hours.schema, "feature-hours")
     each = S.feature_step(store, X.station_features, X.HISTORY_HOURS)
-    written = feed(hours, "features", lambda h: h, each=each)
+    written = feed(spark, path, hours, "features", lambda h: h, each=each)
     return rounded(written, _STREAMED, keep=KEY)
 
 
@@ -121,10 +129,10 @@ def live_of(spark, path):
 
     def each(batch, batch_id):
         store.add(batch, batch_id)
-        everything = spark.range(1).select(F.lit(V.WINDOW_START).alias("t"))
+        everything = spark.range(1).select(F.lit(hours_between(spark, path)[0]).alias("t"))
         return S.score_ready(store.recent(batch_id, everything), model, ["temperature_2m"], F.lit(NOW))
 
-    return S.latest_per_key(feed(hours, "live", lambda h: h, each=each), ["station_id"])
+    return S.latest_per_key(feed(spark, path, hours, "live", lambda h: h, each=each), ["station_id"])
 
 
 @query(

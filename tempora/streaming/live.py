@@ -72,7 +72,10 @@ def run_feed(
     rows = stage(table, f"{name}-source")
     width = (last - first) / parts
     for i in range(parts):
-        inside = F.col("timestamp_utc") >= F.lit(first + i * width)
+        # the outer ranges are open, so that every row with a time is delivered
+        inside = F.col("timestamp_utc").isNotNull()
+        if i > 0:
+            inside = inside & (F.col("timestamp_utc") >= F.lit(first + i * width))
         if i < parts - 1:
             inside = inside & (F.col("timestamp_utc") < F.lit(first + (i + 1) * width))
         rows.filter(inside).write.mode("append").parquet(source)
