@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("queries_text", "queries_pairs", "queries_model")
+_MODULES = ("queries_text", "queries_pairs", "queries_model", "queries_scan")
 
 
 def load():
