@@ -17,8 +17,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "lang", "text")
-    trusted = quality.trusted_documents(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
-    scored = quality.score(docs, quality.fit(trusted), "doc_id", "lang")
+    scored = quality.classify(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), "doc_id", "lang")
     return scored.select("row.doc_id", "row.lang", "perplexity", "worst_perplexity", "keep")
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import plain_quality
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -198,25 +199,21 @@ def test_quality(spark):
     rng = np.random.default_rng(1)
     good = [("en", " ".join(rng.choice(["the", "thing", "that", "there", "then"], 60))) for _ in range(200)]
     model = quality.fit(spark.createDataFrame(good, "lang string, text string"))
-    total = sum(p for (p, _) in model.tables["en"].values() if p is not None and p <= 1)
-    assert total > 0
+    table = plain_quality.table_of(model, "en")
+    letters = sorted({g[-1] for g in table if g})
+    for context in ("", " ", "t", " th"):
+        assert sum(math.exp(-plain_quality.cost(table, context + x)) for x in letters) == pytest.approx(1, abs=0.1)
     asked = [(1, "en", good[0][1]), (2, "en", "@@## ~~ %% xq zzq"), (3, None, good[1][1]), (4, "en", None), (5, "en", "")]
     got = {r["row"]["doc_id"]: r for r in quality.score(spark.createDataFrame(asked, "doc_id long, lang string, text string"), model).collect()}
     assert got[1]["keep"] and not got[2]["keep"] and got[3]["keep"] and got[4]["keep"] and got[5]["keep"] and got[4]["perplexity"] is None
 
 
-def plain_grams(text, order):
-    for word in quality.normal(text).split():
-        padded = f" {word} "
-        yield [padded[max(0, i - order + 1) : i + 1] for i in range(1, len(padded))]
-
-
 def test_gram_counts_match_plain_counting(spark):
     texts = [("en", "The cat\nsat on 1999 mats"), ("en", "the CAT"), ("fr", "été \U0001f600 \0 x"), (None, "the été"), ("fr", None), ("en", "")]
-    got = {(r["lang"], r["gram"]): r["n"] for r in quality.gram_counts(spark.createDataFrame(texts, "lang string, text string"), 4).collect()}
+    got = {(r["lang"], plain_quality.gram_of(r["gram"])): r["n"] for r in quality.gram_counts(spark.createDataFrame(texts, "lang string, text string"), 4).collect()}
     want = Counter()
     for lang, text in texts:
-        for grams in plain_grams(text or "", 4):
+        for grams in plain_quality.grams(text or "", 4):
             for key in {lang or quality.POOLED, quality.POOLED}:
                 want.update((key, g) for g in grams)
     assert got == want
@@ -229,22 +226,13 @@ def test_text_scores_match_plain_backoff(order):
     for _ in range(2000):
         gram = "".join(rng.choice(letters) for _ in range(rng.randint(1, order)))
         table[gram] = (rng.random(), rng.choice([None, rng.random()]))
-
-    def cost(gram):
-        if gram in table or not gram:
-            return -math.log(table[gram][0])
-        return cost(gram[1:]) - math.log((table.get(gram[:-1]) or (0, 1.0))[1] or 1.0)
-
-    scores = quality.Scores(table, order)
-    for _ in range(100):
-        text = "".join(rng.choice(letters + "\n9A\0\U0001f600\t") for _ in range(rng.randint(0, 300)))
-        words = [(sum(map(cost, grams)), len(grams)) for grams in plain_grams(text, order)]
-        if not words:
-            assert scores.text(text) is None
-            continue
-        worst = sorted(c / n for c, n in words)[-max(1, round(quality.WORST * len(words))) :]
-        want = sum(c for c, _ in words) / sum(n for _, n in words), sum(worst) / len(worst)
-        assert scores.text(text) == pytest.approx(want, rel=1e-6)
+    grams = np.array([plain_quality.number_of(g) for g in table], np.uint64)
+    costs = quality.Costs(grams, np.array([p for p, _ in table.values()]), np.array([b or np.nan for _, b in table.values()]))
+    texts = ["".join(rng.choice(letters + "\n9A\0\U0001f600\t") for _ in range(rng.randint(0, 300))) for _ in range(100)]
+    got = zip(*costs.texts(texts, len(texts), order), strict=True)
+    for text, found in zip(texts, got, strict=True):
+        want = plain_quality.text(table, text, order)
+        assert found == pytest.approx(want, rel=1e-6) if want else all(map(math.isnan, found))
 
 
 def test_empty_tables(spark):
