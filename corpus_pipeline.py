@@ -21,8 +21,7 @@ def _key(doc_id: Column) -> Column:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model of the trusted ones does not reject, unchanged."""
     labels = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
-    model = quality.fit(quality.trusted_documents(docs, labels))
-    return quality.score(docs, model).filter("keep").select("row.*")
+    return quality.classify(docs, labels).filter("keep").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
