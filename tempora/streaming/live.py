@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from datetime import datetime
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tempora.functions.clock import shift_hours
 from tempora.functions.values import all_known
 from tempora.operators.labels import keep_first
 from tempora.operators.status import freshness
-from tempora.session import scratch_path, stage
+from tempora.session import scratch_path
 
 KEY = ["station_id", "timestamp_utc"]
 
 
-def read_files(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet") -> DataFrame:
-    """New parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
+#: Files that one micro-batch takes at most; a backlog is worked off in batches of bounded size.
+MAX_FILES = 1000
+
+
+def read_files(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", files: int = MAX_FILES) -> DataFrame:
+    """New parquet files of a folder as a stream, at most ``files`` per micro-batch."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(path)
 
 
 Each = Callable[[DataFrame, int], DataFrame]
@@ -53,36 +54,6 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", each: Each
     return stream.sparkSession.read.option("basePath", f"{root}/data").parquet(f"{root}/data")
 
 
-def run_feed(
-    table: DataFrame,
-    name: str,
-    parts: int,
-    first: datetime,
-    last: datetime,
-    plan: Callable[[DataFrame], DataFrame],
-    mode: str = "append",
-    each: Each | None = None,
-) -> DataFrame:
-    """Deliver a table as a feed, one time range after the other, and let the query catch up after each delivery.
-
-    All files of a delivery form one micro-batch, so no row of a range is late against another row of it.
-    """
-    spark = table.sparkSession
-    source, root = scratch_path(spark, f"{name}-feed"), scratch_path(spark, name)
-    rows = stage(table, f"{name}-source")
-    width = (last - first) / parts
-    for i in range(parts):
-        # the outer ranges are open, so that every row with a time is delivered
-        inside = F.col("timestamp_utc").isNotNull()
-        if i > 0:
-            inside = inside & (F.col("timestamp_utc") >= F.lit(first + i * width))
-        if i < parts - 1:
-            inside = inside & (F.col("timestamp_utc") < F.lit(first + (i + 1) * width))
-        rows.filter(inside).write.mode("append").parquet(source)
-        _drain(plan(read_files(spark, source, table.schema)), root, mode, each)
-    return spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data")
-
-
 def latest_per_key(written: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Result of an update-mode query: for every key the row of its last batch."""
     rest = [c for c in written.columns if c not in (*keys, "batch_id")]
@@ -130,43 +101,8 @@ def episode_sessions(positive: DataFrame, gap_hours: int, delay: str) -> DataFra
     )
 
 
-HISTORY_OUTPUT = "station_id string, timestamp_utc timestamp, history_rows int, ready boolean, sum_24h double, lag_24h double"
-HISTORY_STATE = "hours array<bigint>, amounts array<double>"
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the last 25 hours of one station and report on each new hour."""
-    held: dict[int, float] = {}
-    unknown = float("nan")
-    if state.exists:
-        hours, amounts = state.get
-        held = dict(zip(hours, amounts))
-    for frame in frames:
-        frame = frame.sort_values("hour_no").drop_duplicates("hour_no")
-        out = []
-        for hour, amount in zip(frame["hour_no"], frame["amount"]):
-            held[int(hour)] = float(amount)
-            held = {h: a for h, a in held.items() if h > hour - 25}
-            ready = len(held) == 25
-            last_24 = [held[h] for h in range(int(hour) - 23, int(hour) + 1) if h in held]
-            out.append((key[0], pd.Timestamp(int(hour) * 3600, unit="s"), len(held), ready, sum(last_24) if len(last_24) == 24 else unknown, held.get(int(hour) - 24, unknown)))
-        names = ["station_id", "timestamp_utc", "history_rows", "ready", "sum_24h", "lag_24h"]
-        yield pd.DataFrame(out, columns=names)
-    state.update((list(held), [held[h] for h in held]))
-
-
-def history_ring(hours: DataFrame, value: str) -> DataFrame:
-    """25 hours of state per station; hours must arrive in order, as micro-batches of an hourly feed do."""
-    feed = hours.filter(F.col(value).isNotNull()).select(
-        "station_id", F.floor(F.unix_seconds("timestamp_utc") / 3600).alias("hour_no"), F.col(value).cast("double").alias("amount")
-    )
-    return feed.groupBy("station_id").applyInPandasWithState(
-        _advance, HISTORY_OUTPUT, HISTORY_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
 class HourStore:
-    """Hours seen so far, one folder per micro-batch, so that each batch can look back over the same window."""
+    """Hours seen so far, one folder per micro-batch and day, so that each batch looks back over the same window and reads its days alone."""
 
     def __init__(self, spark: SparkSession, schema: T.StructType, name: str):
         self.spark, self.schema = spark, schema
@@ -174,14 +110,64 @@ class HourStore:
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
         first = keep_first(batch, KEY, [c for c in batch.columns if c not in KEY])
-        first.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        rows = first.select(*self.schema.names).withColumn("day", F.to_date("timestamp_utc"))
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/batch_id={batch_id}")
 
     def recent(self, batch_id: int, since: DataFrame) -> DataFrame:
         """Rows of this and earlier batches from a start time on, a repeated hour taken from its earliest batch."""
-        known = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
+        known = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("day", T.DateType())])
         rows = self.spark.read.schema(known).option("basePath", self.path).parquet(self.path)
-        rows = rows.filter((F.col("batch_id") <= batch_id) & (F.col("timestamp_utc") >= since.scalar()))
-        return keep_first(rows, KEY, ["batch_id"]).drop("batch_id")
+        # the day is a folder, so older ones are not read
+        rows = rows.filter((F.col("batch_id") <= batch_id) & (F.col("day") >= F.to_date(since.scalar())) & (F.col("timestamp_utc") >= since.scalar()))
+        return keep_first(rows, KEY, ["batch_id"]).drop("batch_id", "day")
+
+
+class LatestStore:
+    """The newest time of every key after each micro-batch; a batch reads one row a key of the batch before it."""
+
+    def __init__(self, spark: SparkSession, name: str, key: str):
+        self.spark, self.path, self.key = spark, scratch_path(spark, name), key
+
+    def add(self, found: DataFrame, batch_id: int) -> DataFrame:
+        """Newest times of ``found(key, observed)`` and of all before; a null time is a key that was seen without one."""
+        if batch_id:
+            found = found.unionByName(self.spark.read.parquet(f"{self.path}/{batch_id - 1}"))
+        newest = found.groupBy(self.key).agg(F.max("observed").alias("observed"))
+        newest.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+        return self.spark.read.parquet(f"{self.path}/{batch_id}")
+
+
+def hourly_backfill(build: Callable[[DataFrame], DataFrame], archive: str, table: str, metrics: str, delay: str) -> Each:
+    """Keep an hourly table right under late rows by rewriting the (station, day) parts that a micro-batch touches.
+
+    Each batch of reports is added to the ``archive`` by station and day; the parts it touches are read back, built anew by
+    ``build`` and overwritten in ``table``, no other part. Counts of rows and of those later than ``delay`` behind the newest
+    time of earlier batches are observed while the batch is written and kept in ``metrics``. A repeated batch overwrites its own rows.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        newest = None
+        if batch_id:
+            newest = spark.read.parquet(f"{metrics}/{batch_id - 1}").agg(F.max("newest")).first()[0]
+        late = F.col("valid_ts") < F.lit(newest) - F.expr(f"INTERVAL {delay}") if newest else F.lit(False)
+        seen = Observation(f"batch-{batch_id}")
+        rows = batch.withColumn("station", F.col("station_id")).withColumn("day", F.to_date("valid_ts"))
+        counted = rows.observe(seen, F.count("*").alias("n_rows"), F.count_if(late).alias("n_late"), F.max("valid_ts").cast("string").alias("newest"))
+        counted.write.mode("overwrite").partitionBy("station", "day").parquet(f"{archive}/batch_id={batch_id}")
+        found = seen.get
+        known = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.LongType())])
+        all_rows = spark.read.schema(known).option("basePath", archive).parquet(archive).filter(F.col("batch_id") <= batch_id)
+        parts = spark.read.schema(known).option("basePath", archive).parquet(f"{archive}/batch_id={batch_id}").select("station", "day").distinct()
+        touched = build(all_rows.join(parts, ["station", "day"], "left_semi").select(*batch.columns))
+        touched = touched.withColumn("station", F.col("station_id")).withColumn("day", F.to_date("timestamp_utc"))
+        touched.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("station", "day").parquet(table)
+        row = [(batch_id, found["n_rows"], found["n_late"], max(filter(None, (found["newest"], newest)), default=None), parts.count())]
+        done = spark.createDataFrame(row, "batch_no long, n_rows long, n_late long, newest string, n_parts long")
+        done.coalesce(1).write.mode("overwrite").parquet(f"{metrics}/{batch_id}")
+        return done
+
+    return each
 
 
 def feature_step(store: HourStore, build: Callable[[DataFrame], DataFrame], history_hours: int) -> Each:
@@ -196,13 +182,23 @@ def feature_step(store: HourStore, build: Callable[[DataFrame], DataFrame], hist
     return each
 
 
+def newest_complete(hours: DataFrame, columns: Sequence[str], now) -> DataFrame:
+    """Every station with its newest complete hour up to now, null where there is none; future hours are not used."""
+    usable = (F.col("timestamp_utc") <= now) & all_known([F.col(c) for c in columns])
+    return hours.groupBy("station_id").agg(F.max(F.when(usable, F.col("timestamp_utc"))).alias("observed"))
+
+
 def score_ready(hours: DataFrame, model_hours: DataFrame, columns: Sequence[str], now, limit_minutes: int = 180, leads: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Live status per station: newest complete hour up to now, its age, and forecast cover of T+1 to T+3.
 
-    Future hours are not used; incomplete newest hours are stepped over; a stale or uncovered station is UNAVAILABLE.
+    Incomplete newest hours are stepped over; a stale or uncovered station is UNAVAILABLE.
     """
-    usable = hours.filter((F.col("timestamp_utc") <= now) & all_known([F.col(c) for c in columns]))
-    latest = usable.groupBy("station_id").agg(F.max("timestamp_utc").alias("observed"))
+    return judge_newest(newest_complete(hours, columns, now), model_hours, now, limit_minutes, leads)
+
+
+def judge_newest(newest: DataFrame, model_hours: DataFrame, now, limit_minutes: int = 180, leads: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """Status of ``newest(station_id, observed)``."""
+    latest = newest.filter("observed is not null")
     wanted = latest.withColumn("timestamp_utc", F.explode(F.array(*[shift_hours(F.col("observed"), k) for k in leads])))
     covered = wanted.join(model_hours.select(*KEY).distinct(), KEY).groupBy("station_id").agg(F.count("*").alias("covered"))
     judged = freshness(latest, now, limit_minutes, "observed").join(covered, "station_id", "left")
@@ -210,7 +206,7 @@ def score_ready(hours: DataFrame, model_hours: DataFrame, columns: Sequence[str]
         F.when(F.col("status") != "LIVE", "stale_observation"),
         F.when(F.coalesce("covered", F.lit(0)) < len(leads), "forecast_horizon_unavailable"),
     )
-    stations = hours.select("station_id").distinct().join(judged, "station_id", "left")
+    stations = newest.select("station_id").join(judged, "station_id", "left")
     reason = F.coalesce(F.when(F.col("observed").isNull(), "no_complete_hour"), reason)
     return stations.select(
         "station_id", "observed", "data_age_minutes", reason.alias("reason"), F.when(reason.isNull(), "LIVE").otherwise("UNAVAILABLE").alias("status")

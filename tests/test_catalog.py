@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 from tempora.operators import features as X
 from tempora.plans import experiments as P
 from tempora.sources import views as V
-from tempora.streaming import live
+from tempora.catalog import feed
+from tempora.streaming import live, state
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
@@ -62,7 +63,7 @@ def test_hourly_sums_from_one_scan(spark):
 def test_stream_of_hours_equals_batch(spark, hour):
     data = [(s, hour(h), float((h * k) % 13)) for k, s in ((3, "a"), (5, "b")) for h in range(48) if (h * k) % 7]
     df = spark.createDataFrame(data, "station_id string, timestamp_utc timestamp, precipitation double")
-    written = live.run_feed(df, "t", 3, hour(0), hour(47), lambda h: live.trailing_totals(h, "precipitation", 3, "1 hour"))
+    written = feed.run_feed(df, "t", 3, hour(0), hour(47), lambda h: live.trailing_totals(h, "precipitation", 3, "1 hour"))
     got = {(r[0], r[1]): r[2] for r in rows(written.select("station_id", "timestamp_utc", "total"))}
     from tempora.operators.series import Chunked
 
@@ -75,7 +76,7 @@ def test_stream_of_hours_equals_batch(spark, hour):
 
 def test_history_state_over_several_deliveries(spark, hour):
     df = spark.createDataFrame([("a", hour(h), float(h)) for h in range(60)], "station_id string, timestamp_utc timestamp, x double")
-    written = live.run_feed(df, "r", 4, hour(0), hour(59), lambda h: live.history_ring(h, "x"))
+    written = feed.run_feed(df, "r", 4, hour(0), hour(59), lambda h: state.history(h, "x"), "update")
     out = rows(written.select("timestamp_utc", "history_rows", "ready", "sum_24h", "lag_24h"), "timestamp_utc")
     assert len(out) == 60
     assert out[23][2] is False and out[24][2] is True
@@ -84,7 +85,7 @@ def test_history_state_over_several_deliveries(spark, hour):
 
 def test_repeated_hours_are_dropped(spark, hour):
     df = spark.createDataFrame([("a", hour(h), float(i)) for i in range(2) for h in range(5)], "station_id string, timestamp_utc timestamp, x double")
-    written = live.run_feed(df, "d", 1, hour(0), hour(4), lambda h: live.first_seen(h, ["station_id", "timestamp_utc"], "timestamp_utc", "1 hour"))
+    written = feed.run_feed(df, "d", 1, hour(0), hour(4), lambda h: live.first_seen(h, ["station_id", "timestamp_utc"], "timestamp_utc", "1 hour"))
     assert written.count() == 5
 
 

@@ -2,8 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tempora.catalog import streams
-from tempora.streaming import live
+from tempora.catalog import feed, streams
 
 
 def test_feed_takes_its_range_from_the_events(spark, tmp_path):
@@ -19,4 +18,4 @@ def test_feed_takes_its_range_from_the_events(spark, tmp_path):
 def test_rows_outside_the_named_range_are_delivered(spark, hour):
     df = spark.createDataFrame([("A", i) for i in range(-5, 20)], "station_id string, i int")
     df = df.select("station_id", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,i)").alias("timestamp_utc"))
-    assert live.run_feed(df, "o", 3, hour(0), hour(9), lambda h: h).count() == 25
+    assert feed.run_feed(df, "o", 3, hour(0), hour(9), lambda h: h).count() == 25
