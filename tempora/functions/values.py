@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def known(value: Column) -> Column:
@@ -165,14 +167,30 @@ def display_value(value: Column) -> Column:
     return F.when(known(value).isNull(), "N/A").otherwise(text)
 
 
-def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row that changes with the content of a table and not with its order."""
-    names = columns or df.columns
-    row = F.xxhash64(*[F.col(c) for c in names])
-    # the two halves are summed apart, so that no sum can overflow
-    return df.select(row.alias("_h")).agg(
-        F.count("*").alias("n_rows"),
-        F.coalesce(F.bit_xor("_h"), F.lit(0)).alias("hash_xor"),
-        F.coalesce(F.sum(F.col("_h").bitwiseAND(0xFFFFFFFF)), F.lit(0)).alias("hash_low"),
-        F.coalesce(F.sum(F.shiftrightunsigned("_h", 32)), F.lit(0)).alias("hash_high"),
-    )
+def canonical(name: str, kind: T.DataType) -> Column:
+    """A value as text that any engine can write: times as microseconds, its length in front, null as a text of its own."""
+    value = F.unix_micros(F.col(name)) if isinstance(kind, T.TimestampType) else F.col(name)
+    text = value.cast("string")
+    return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("null"))
+
+
+def fingerprint(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """Per part of the table (all of it by default) the number of rows and a 128-bit hash of its multiset of rows.
+
+    Every row's md5 is added up in two halves modulo 2**64, so order and partitioning don't matter, repeated rows count as often as they
+    stand there, and parts can be added up to the whole. Sums are combined where the rows are read.
+    """
+    names = list(columns or df.columns)
+    digest = F.md5(F.concat_ws("|", *[canonical(n, df.schema[n].dataType) for n in names]))
+    half = lambda at: F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(28,0)")
+    rows = df.select(*by, half(1).alias("_high"), half(17).alias("_low"))
+    total = lambda c: F.coalesce(F.sum(c) % F.lit(str(2**64)).cast("decimal(28,0)"), F.lit(0)).cast("decimal(20,0)").cast("string")
+    return rows.groupBy(*by).agg(F.count("*").alias("n_rows"), total("_high").alias("hash_high"), total("_low").alias("hash_low"))
+
+
+def changed_parts(before: DataFrame, after: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Keys of the parts that differ between two tables of fingerprints, those that only one has included."""
+    marks = ["n_rows", "hash_high", "hash_low"]
+    pack = lambda df, name: df.select(*by, F.struct(*marks).alias(name))
+    both = pack(before, "_b").unionByName(pack(after, "_a"), allowMissingColumns=True)
+    return both.groupBy(*by).agg(F.max("_b").alias("_b"), F.max("_a").alias("_a")).filter(~F.col("_b").eqNullSafe(F.col("_a"))).select(*by)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.clock import expected_hours
-from tempora.functions.values import close, fingerprint
+from tempora.functions.values import changed_parts, close, fingerprint
 from tempora.operators.profile import step_report
 
 KEY = ["station_id", "timestamp_utc"]
@@ -122,10 +122,10 @@ def key_sets(left: DataFrame, right: DataFrame, keys: Sequence[str] = tuple(KEY)
     return union([df.agg(F.lit(name).alias("set"), F.count("*").alias("n")) for name, df in parts])
 
 
-def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Same rows in both tables, whatever their order."""
-    a, b = fingerprint(before), fingerprint(after, before.columns)
-    names = ["n_rows", "hash_xor", "hash_low", "hash_high"]
-    other = b.select(F.struct(*names)).scalar()
-    differs = a.select(*[(~F.col(n).eqNullSafe(other[n])).cast("int").alias(n) for n in names])
-    return check_rows(differs, {f"same_{n}": n for n in names})
+def unchanged(before: DataFrame, after: DataFrame, by: Sequence[str]) -> DataFrame:
+    """How many parts two builds of a table have, and how many of them differ in content, whatever the order of their rows."""
+    columns = before.columns
+    a, b = fingerprint(before, by, columns), fingerprint(after, by, columns)
+    parts = a.select(*by).union(b.select(*by)).distinct().withColumn("_changed", F.lit(0))
+    counted = parts.union(changed_parts(a, b, by).withColumn("_changed", F.lit(1)))
+    return counted.agg(F.count_if(F.col("_changed") == 0).alias("n_parts"), F.count_if(F.col("_changed") == 1).alias("n_changed"))

@@ -105,3 +105,17 @@ def test_contracts(spark):
     with pytest.raises(contracts.ContractError):
         contracts.require_exact(df, ["target_1h", "station_id"])
     assert contracts.require_schema(df, df.schema) is df
+
+
+def test_changed_parts_are_named(spark):
+    data = [(d, i, None if i % 3 == 0 else f"v{i}") for d in "abcd" for i in range(20)]
+    table = lambda data: values.fingerprint(spark.createDataFrame(data, "day string, n int, v string"), ["day"], ["n", "v"])
+    swapped = [("a", i, v) if d == "a" else (d, i, v) for d, i, v in reversed(data)]
+    changed = [*[x for x in data if x[0] != "d"], ("b", 3, "null"), ("c", 1, "v1"), ("e", 1, "x")]
+    name = lambda other: sorted(r[0] for r in rows(values.changed_parts(table(data), table(other), ["day"])))
+    assert name(swapped) == [] and name(changed) == ["b", "c", "d", "e"]
+    assert name([(d, i, "null" if v is None and (d, i) == ("a", 0) else v) for d, i, v in data]) == ["a"]
+    whole = values.fingerprint(spark.createDataFrame(data, "day string, n int, v string"), columns=["n", "v"]).first()
+    parts = rows(table(data))
+    assert int(whole["hash_low"]) == sum(int(r[3]) for r in parts) % 2**64 and whole["n_rows"] == 80
+    assert rows(values.fingerprint(spark.createDataFrame([], "n int"))) == [(0, "0", "0")]
