@@ -25,8 +25,22 @@ SPLITS = 16
 EVENTS = "conv_id long, turn long, role string, part long, kind string, call_id string, name string, arguments string, content string, needs array<string>"
 
 
+def clean(text: str) -> str:
+    """Lone surrogates, which JSON escapes can spell and UTF-8 cannot, become question marks."""
+    return text.encode("utf-8", "replace").decode("utf-8")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no spaces; ValueError for numbers that JSON does not have."""
+    return clean(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _plain(value) -> str:
+    """A string as it is, anything else as JSON, what JSON cannot say as null."""
+    try:
+        return clean(value) if isinstance(value, str) else canonical(value)
+    except (ValueError, RecursionError):
+        return "null"
 
 
 def _loads(text: str):
@@ -47,7 +61,7 @@ def _references(value) -> list[str]:
         x = stack.pop()
         if isinstance(x, dict):
             if isinstance(x.get("$ref"), str):
-                out.append(x["$ref"])
+                out.append(clean(x["$ref"]))
             stack.extend(x.values())
         elif isinstance(x, list):
             stack.extend(x)
@@ -55,27 +69,33 @@ def _references(value) -> list[str]:
 
 
 def events(role: str | None, text: str | None) -> list[tuple]:
-    """(kind, call_id, name, arguments, content, needs) of one message."""
+    """(kind, call_id, name, arguments, content, needs) of one message.
+
+    Identifiers, names and contents that are no strings are taken as JSON. Arguments with numbers that JSON does not have (NaN, infinity) are null, which no
+    schema of an object accepts; such contents are null too.
+    """
     text = text or ""
     found = _loads(text)
     if found and isinstance(found.get("tool_calls"), list):
         out = []
         if found.get("content"):
-            out.append(("message", None, None, None, str(found["content"]), []))
+            out.append(("message", None, None, None, _plain(found["content"]), []))
         for call in found["tool_calls"]:
             call = call if isinstance(call, dict) else {}
             arguments = call.get("arguments")
             if isinstance(arguments, str):
                 arguments = _loads(arguments)
             ident = call.get("id")
-            out.append(
-                ("call", None if ident is None else str(ident), str(call.get("name") or ""), canonical(arguments), None, _references(arguments))
-            )
+            try:
+                line = canonical(arguments)
+            except (ValueError, RecursionError):
+                line = "null"
+            needs = [] if line == "null" else _references(arguments)
+            out.append(("call", None if ident is None else _plain(ident), _plain(call.get("name") or ""), line, None, needs))
         return out or [("message", None, None, None, "", [])]
     if found and "tool_call_id" in found:
-        ident = str(found["tool_call_id"])
-        content = found.get("content")
-        return [("result", ident, None, None, content if isinstance(content, str) else canonical(content), [ident])]
+        ident = _plain(found["tool_call_id"])
+        return [("result", ident, None, None, _plain(found.get("content")), [ident])]
     return [("message", None, None, None, text, [])]
 
 
