@@ -4,8 +4,10 @@ Every node of a page's tree has a density: its characters per tag, weighed down
 tags in it. A node's sum is the densities of its children; the node with the largest sum holds the main text. The least
 density on the path from it to the body is the page's threshold, and other subtrees that reach it are kept as well.
 Parts that name themselves as something else (menus, forms, adverts, comments, hidden parts, ...) are left out before. A
-class or id does so as a whole token only, and never for a part that holds an article or main element or most of the
-page's unlinked text.
+class or id does so as a whole token or by its head or leading word (``main-navigation``, ``sidebar-left``). Comments go
+by their name, however long, unless they hold the main element, the first heading or the whole text; then a form or
+another named part goes unless it holds the page's main or article element or, where none of these carries text, most of
+the unlinked text. So a form or an oddly named box around the whole page stays.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w=-])")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template xmp noframes".split())
 _INLINE = frozenset(
@@ -28,10 +30,10 @@ _INLINE = frozenset(
     " strike strong sub sup time tt u var wbr".split()
 )
 _NOISE = frozenset(
-    "head script style textarea title noscript iframe template xmp noframes nav footer aside form button select option"
+    "head script style textarea title noscript iframe template xmp noframes nav footer aside button select option"
     " input svg canvas object audio video map menu dialog".split()
 )
-_NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+_NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog".split())
 _NOISE_NAMES = re.compile(
     r"(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|side-?bar|widget|"
     r"nav(?:bar|igation)?|menu|bread-?crumbs?|foot(?:er)?|mast-?head|site-?header|page-?header|top-?bar|header|cookies?|"
@@ -41,6 +43,19 @@ _NOISE_NAMES = re.compile(
     r"(?:[\s_-](?:box|block|bar|area|list|section|container|wrapper|widget|notice|banner|form|links?|buttons?|unit|slot))?",
     re.I,
 )
+_LAST_WORDS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar widget widgets comment comments replies overlay popup modal"
+    " cookie cookies consent newsletter share sharing social related recommended recommendations pagination ad ads advert adverts"
+    " advertisement sponsored disclaimer copyright".split()
+)
+_FIRST_WORDS = frozenset("nav navbar navigation breadcrumb breadcrumbs footer sidebar cookie newsletter comment comments".split())
+_COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
+#: Words that make a name a state of its part and not what it is.
+_STATE_WORDS = frozenset("has no not with without is hide show open opened close closed enabled disabled on off allowed overflow".split())
+_WORD_ENDS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+_COMMENT, _OTHER = "comment", "other"
+#: The share of the unlinked text from which a main or article element without a heading is taken for the article.
+_ANCHOR_SHARE = 0.1
 #: A start tag on the left ends an open element on the right.
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -58,47 +73,89 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise, self.parts = tag, parent, noise, []
-        self.named = False
+        self.named = ""
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _noisy(tag: str, attributes: str, inside_article: bool) -> bool:
+def _attributes(text: str) -> list[tuple[str, str]]:
+    return [(name.lower(), a or b or c) for name, a, b, c in _ATTRIBUTE.findall(text)]
+
+
+def _noisy(tag: str, attributes: list[tuple[str, str]], inside_article: bool) -> bool:
     if tag in _NOISE or tag == "header" and not inside_article:
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main"):
         return False
-    for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
-        value, name = a or b or c, name.lower()
-        if hidden or name == "aria-hidden" and value == "true" or name == "role" and value in _NOISE_ROLES:
+    for name, value in attributes:
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _NOISE_ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
-def _named(attributes: str) -> bool:
-    """Whether a class or id, as a whole token, names noise."""
-    for name, a, b, c, _ in _ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id") and any(_NOISE_NAMES.fullmatch(token) for token in (a or b or c).split()):
-            return True
-    return False
+def _named(tag: str, attributes: list[tuple[str, str]]) -> str:
+    """What a class, id, role or the tag form names a part as: comments, other noise, or nothing ('')."""
+    kinds = {_OTHER} if tag == "form" else set()
+    for name, value in attributes:
+        if name == "role" and value == "form":
+            kinds.add(_OTHER)
+        for token in value.split() if name in ("class", "id") else ():
+            parts = [w.lower() for w in _WORD_ENDS.split(token) if w]
+            compound = len(parts) > 1 and not _STATE_WORDS & {parts[0], parts[-1]}
+            if _NOISE_NAMES.fullmatch(token) or compound and (parts[0] in _FIRST_WORDS or parts[-1] in _LAST_WORDS):
+                comments = parts and (parts[0] in _COMMENT_WORDS or parts[-1] in _COMMENT_WORDS)
+                kinds.add(_COMMENT if comments else _OTHER)
+    return _COMMENT if _COMMENT in kinds else _OTHER if _OTHER in kinds and tag not in ("article", "main") else ""
 
 
-def _judge(root: Node) -> None:
-    """Makes noise of the parts that are named so, unless they hold an article, main or most of the unlinked text."""
-    nodes = _order(root)
-    if not any(node.named for node in nodes):
-        return
-    plain, holds = {}, set()
+def _unlinked(nodes: list[Node]) -> dict[int, int]:
+    """Characters of each node outside links and noise."""
+    plain: dict[int, int] = {}
     for node in reversed(nodes):
         own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
         own += sum(plain[id(p)] for p in node.parts if isinstance(p, Node) and not p.noise)
         plain[id(node)] = 0 if node.tag == "a" else own
-        if node.tag in ("article", "main") or any(id(p) in holds for p in node.parts if isinstance(p, Node)):
-            holds.add(id(node))
+    return plain
+
+
+def _above(nodes: list[Node]) -> set[int]:
+    """Ids of the nodes and of everything that they stand in."""
+    out: set[int] = set()
+    for node in nodes:
+        up = node
+        while up is not None and id(up) not in out:
+            out.add(id(up))
+            up = up.parent
+    return out
+
+
+def _judge(root: Node) -> None:
+    """Makes noise of the named parts: comments by their name, others where the article is seen to stand elsewhere."""
+    nodes = _order(root)
+    if not any(node.named for node in nodes):
+        return
+    if any(node.named == _COMMENT for node in nodes):
+        plain = _unlinked(nodes)
+        heading = next((n for n in nodes if n.tag == "h1"), None)
+        stay = _above([n for n in nodes if n.tag == "main" or n is heading])
+        for node in nodes:
+            node.noise = node.named == _COMMENT and id(node) not in stay and plain[id(node)] < plain[id(root)]
+        nodes = _order(root)
+    plain = _unlinked(nodes)
+    anchors = [n for n in nodes if n.tag == "main"] or [n for n in nodes if n.tag == "article"]
+    boxed = set()  # stands in a named part that is no form; parents come first
+    for node in nodes:
+        if node.named and node.tag != "form" or id(node.parent) in boxed:
+            boxed.add(id(node))
+    anchors = [n for n in anchors if id(n) not in boxed] or anchors
+    holds = _above(anchors)
+    titled = _above([n for n in nodes if n.tag == "h1"])
+    seen = any(id(n) in titled or plain[id(n)] > _ANCHOR_SHARE * plain[id(root)] for n in anchors)
     for node in nodes:
-        node.noise = node.named and id(node) not in holds and 2 * plain[id(node)] <= plain[id(root)]
+        if node.named and id(node) not in holds:
+            node.noise = seen or 2 * plain[id(node)] <= plain[id(root)]
 
 
 def tree(html: str) -> Node:
@@ -123,7 +180,7 @@ def tree(html: str) -> Node:
                 up = up.parent
             if up is not root and up.tag == tag:
                 while node is not up.parent:
-                    articles -= node.tag == "article"
+                    articles -= node.tag in ("article", "main")
                     node = node.parent
             continue
         if tag in ("html", "body"):
@@ -135,14 +192,15 @@ def tree(html: str) -> Node:
                 up = up.parent
             if up is not root and up.tag in ends:
                 node = up.parent
-        child = Node(tag, node, _noisy(tag, found[3], articles > 0))
-        child.named = not child.noise and tag not in ("article", "main") and bool(found[3].strip()) and _named(found[3])
+        attributes = _attributes(found[3]) if found[3].strip() else []
+        child = Node(tag, node, _noisy(tag, attributes, articles > 0))
+        child.named = "" if child.noise else _named(tag, attributes)
         node.parts.append(child)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else size
         elif tag not in _VOID and not found[3].rstrip().endswith("/"):
-            articles += tag == "article"
+            articles += tag in ("article", "main")
             node = child
     _judge(root)
     return root
