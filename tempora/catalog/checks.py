@@ -203,10 +203,10 @@ def finite_rows(spark, path):
 
 @query(
     "six_hourly_candidates",
-    "SELECT DISTINCT timestamp_utc FROM nwp WHERE hour(timestamp_utc) % 6 = 0 AND timestamp_utc BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-30 23:00:00'",
+    f"SELECT DISTINCT timestamp_utc FROM nwp WHERE hour(timestamp_utc) % 6 = 0 AND timestamp_utc BETWEEN {V.REPLAY_START_SQL} AND (SELECT date_trunc('hour', max(ts)) FROM events)",
 )
 def six_hourly_candidates(spark, path):
-    return G.every_hours(V.nwp(spark, path), "timestamp_utc", 6, V.REPLAY_START, V.last_hour(spark, path))
+    return G.every_hours(V.nwp(spark, path), "timestamp_utc", 6, V.replay_start(spark, path), V.last_hour(spark, path))
 
 
 @query(

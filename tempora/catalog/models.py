@@ -21,32 +21,29 @@ from tempora.sources import views as V
 
 KEY = ["station_id", "timestamp_utc"]
 TARGETS = ["target_1h", "target_2h", "target_3h"]
-INSTANT = X.CURRENT + X.CYCLIC + X.WIND
+#: Forests of the registered queries; the library's defaults are 200 trees as deep as they grow.
 TREES = 50
 DEPTH = 8
 
 
 def model_table(spark, path):
-    """Features of the hour itself, forecast-model columns, climatology and targets on the common keys."""
+    """The 73 features, forecast-model columns, climatology and targets on the common keys, staged once."""
+    from tempora.catalog.features import features_of
     from tempora.catalog.joins import climatology_of
 
-    hours = V.atmos(spark, path)
-    sine, cosine = wind.direction_parts(F.col("wind_direction_10m"))
-    u, v = wind.uv(F.col("wind_speed_10m"), F.col("wind_direction_10m"))
-    derived = {**clock.cyclic(F.col("timestamp_utc")), **dict(zip(X.WIND, (sine, cosine, u, v)))}
-    features = hours.withColumns(derived)
-    table = J.overlap(features, targets_of(spark, path).select(*KEY, *TARGETS), V.nwp(spark, path))
-    return table.join(climatology_of(spark, path).select("station_id", "annual_hours"), "station_id")
+    features = features_of(spark, path).select(*KEY, *X.FEATURES)
+    table = J.overlap(features, targets_of(spark, path).select(*KEY, *TARGETS), V.nwp(spark, path).select(*KEY, *V.MODEL))
+    return stage(table.join(climatology_of(spark, path).select("station_id", "annual_hours"), "station_id"), "model_table")
 
 
 def judged_of(spark, path):
-    wanted = R.candidates(V.spine(spark, path), 6, V.REPLAY_START, V.last_hour(spark, path))
+    wanted = R.candidates(V.spine(spark, path), 6, V.replay_start(spark, path), V.last_hour(spark, path))
     return R.judge_candidates(wanted, V.atmos(spark, path), V.nwp(spark, path), V.ATMOSPHERE, V.MODEL, X.HISTORY_HOURS)
 
 
-_JUDGED = """SELECT a.station_id, a.timestamp_utc, CASE WHEN a.k < 25 THEN 'insufficient_history' WHEN n.nwp_cape IS NULL OR n.nwp_convective_inhibition IS NULL THEN 'missing_required_nwp' END AS reason
+_JUDGED = f"""SELECT a.station_id, a.timestamp_utc, CASE WHEN a.k < 25 THEN 'insufficient_history' WHEN n.nwp_cape IS NULL OR n.nwp_convective_inhibition IS NULL THEN 'missing_required_nwp' END AS reason
   FROM (SELECT *, count(temperature_2m) OVER (PARTITION BY station_id ORDER BY timestamp_utc ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS k FROM atmos) a
-  LEFT JOIN nwp n ON n.station_id = a.station_id AND n.timestamp_utc = a.timestamp_utc WHERE a.timestamp_utc >= TIMESTAMP '2024-01-03' AND hour(a.timestamp_utc) % 6 = 0"""
+  LEFT JOIN nwp n ON n.station_id = a.station_id AND n.timestamp_utc = a.timestamp_utc WHERE a.timestamp_utc >= {V.REPLAY_START_SQL} AND hour(a.timestamp_utc) % 6 = 0"""
 
 
 @query("replay_candidates", f"SELECT station_id, timestamp_utc, reason AS unavailable_reason, CASE WHEN reason IS NULL THEN 'COMPLETE' ELSE 'UNAVAILABLE' END AS data_status FROM ({_JUDGED})")
@@ -115,34 +112,32 @@ _FIGURES = ["experiment", "lead", "split", "limit", "n", "positives", "precision
 
 @query("forest_feature_sets", None)
 def forest_feature_sets(spark, path):
-    """Atmosphere alone, with the forecast model, and with the climatology: same rows, splits and leads."""
-    sets = {"A": INSTANT, "B": INSTANT + V.MODEL, "C": INSTANT + V.MODEL + ["annual_hours"]}
+    """73 features, 83 with the forecast model, 84 with the climatology: same rows and splits, three leads, all parts."""
+    sets = {"A": X.FEATURES, "B": X.FEATURES + V.MODEL, "C": X.FEATURES + V.MODEL + ["annual_hours"]}
     return P.compare_feature_sets(model_table(spark, path), sets, TARGETS, trees=TREES, depth=DEPTH).select(*_FIGURES)
 
 
 @query("forest_leave_one_station_out", None)
 def forest_leave_one_station_out(spark, path):
-    out = P.leave_one_station_out(
-        model_table(spark, path), INSTANT + V.MODEL, ["target_1h"], [s[0] for s in V.STATIONS], trees=TREES, depth=DEPTH
-    )
-    return out.select(*_FIGURES)
+    """Every station held out once, for each lead."""
+    return P.leave_one_station_out(model_table(spark, path), X.FEATURES + V.MODEL, TARGETS, trees=TREES, depth=DEPTH).select(*_FIGURES)
 
 
 @query("forest_with_imputed_model", None)
 def forest_with_imputed_model(spark, path):
     """Missing model values filled with train medians, then the same experiment."""
-    table = S.with_split(stage(model_table(spark, path), "model_table"))
-    filled = impute_with_train_median(table, V.MODEL).drop("split")
-    return P.compare_feature_sets(filled, {"B_imputed": INSTANT + V.MODEL}, ["target_1h"], trees=TREES, depth=DEPTH).select(*_FIGURES)
+    filled = impute_with_train_median(S.with_split(model_table(spark, path)), V.MODEL).drop("split")
+    return P.compare_feature_sets(filled, {"B_imputed": X.FEATURES + V.MODEL}, TARGETS, trees=TREES, depth=DEPTH).select(*_FIGURES)
 
 
 @query("forest_importance", None)
 def forest_importance(spark, path):
-    """Impurity and permutation importance with min-method ranks."""
-    names = ["temperature_2m", "relative_humidity_2m", "precipitation", "nwp_cape", "nwp_precipitation"]
-    rows = P.labelled(P.complete_cases(model_table(spark, path), names, ["target_1h"]), "target_1h")
-    model = P.fit(rows.filter(F.col("split") == "train"), names, trees=TREES, depth=DEPTH)
-    permuted = P.permutation_importance(model, rows.filter(F.col("split") == "validation"), names, repeats=2)
+    """Impurity and permutation importance of every feature with min-method ranks, five permutations each."""
+    names = X.FEATURES + V.MODEL
+    rows = P.labelled(P.vectors(model_table(spark, path), names, ["target_1h"]), "target_1h").withColumn("features", P.sliced(names, names))
+    train = P.balanced(rows.filter(F.col("split") == "train")).select("features", F.col("y").cast("double").alias("y"), "weight")
+    model = P.estimator(trees=TREES, depth=DEPTH).fit(train)
+    permuted = P.permutation_importance(model, rows.filter(F.col("split") == "validation"), names)
     both = P.impurity_importance(model, names).join(permuted, "feature").withColumn("_g", F.lit(1))
     out = ranked(ranked(both, "importance", "impurity_rank", ["_g"]), "importance_mean", "permutation_rank", ["_g"])
     return out.drop("_g")

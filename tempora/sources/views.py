@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tempora.functions import clock
 from tempora.operators.calendar import hourly_spine
 
-# Parameters: the window that the feeds replay, and the first hour that is asked of the archive replay.
+# Parameters: the window that the feeds replay, and how long after the first hour the archive replay begins.
 WINDOW_START = datetime(2024, 1, 1, 0)
 WINDOW_END = datetime(2024, 1, 30, 23)
-REPLAY_START = datetime(2024, 1, 3, 0)
+REPLAY_AFTER = "48 HOURS"
+REPLAY_START_SQL = f"(SELECT date_trunc('hour', min(ts)) + INTERVAL {REPLAY_AFTER} FROM events)"
 
 # Station, latitude, longitude, elevation in m, rank, name.
 STATIONS = [
@@ -64,6 +65,11 @@ def first_hour(spark: SparkSession, path: str) -> Column:
     return table(spark, path, "events").agg(F.date_trunc("hour", F.min("ts")).cast("timestamp")).scalar()
 
 
+def replay_start(spark: SparkSession, path: str) -> Column:
+    """First hour that the archive replay asks for."""
+    return first_hour(spark, path) + F.expr(f"INTERVAL {REPLAY_AFTER}")
+
+
 def last_hour(spark: SparkSession, path: str) -> Column:
     """Last hour of the calendar."""
     return table(spark, path, "events").agg(F.date_trunc("hour", F.max("ts")).cast("timestamp")).scalar()

@@ -124,14 +124,56 @@ def test_balanced_weights_sum_to_equal_classes(spark, hour):
     assert sums[0] == pytest.approx(sums[1])
 
 
-def test_permutation_keeps_the_values_and_moves_them(spark, hour):
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
+def test_partner_is_a_permutation_for_every_key(spark, n):
+    got = spark.range(n).select(*[P.partner(F.col("id"), F.lit(n).cast("long"), F.lit(k)).alias(f"k{k}") for k in range(4)]).collect()
+    orders = [[r[k] for r in got] for k in range(4)]
+    assert all(sorted(o) == list(range(n)) for o in orders)
+    assert n < 64 or len({tuple(o) for o in orders}) == 4 and all(sum(i == x for i, x in enumerate(o)) < 8 for o in orders)
+
+
+def test_places_are_gapless_and_do_not_depend_on_partitions(spark, hour):
     table = model_rows(spark, hour)
-    moved = P.shuffled(table, "x", 1)
-    assert sorted(rows(moved.select("x"))) == sorted(rows(table.select("x")))
-    assert rows(moved.select("station_id", "timestamp_utc", "noise"), "station_id", "timestamp_utc") == rows(
-        table.select("station_id", "timestamp_utc", "noise"), "station_id", "timestamp_utc"
-    )
-    assert rows(moved.orderBy("station_id", "timestamp_utc").select("x")) != rows(table.orderBy("station_id", "timestamp_utc").select("x"))
+    one, many = (P.numbered(t, buckets=16).select("station_id", "timestamp_utc", "place") for t in (table.coalesce(1), table.repartition(7)))
+    assert rows(one, "place") == rows(many, "place") and [r["place"] for r in one.orderBy("place").collect()] == list(range(800))
+
+
+def test_permutation_moves_one_feature_and_keeps_its_values(spark, hour):
+    base = P.numbered(model_rows(spark, hour)).select("place", F.lit(1).alias("y"), F.array("x", "noise").alias("x")).persist()
+    own = {r["place"]: r["x"] for r in base.collect()}
+    moved = P.permuted(base, 800, 3).collect()
+    assert len(moved) == 800 * 2 * 3
+    orders = set()
+    for at in (0, 1):
+        for repeat in range(3):
+            part = {r["place"]: r["x"] for r in moved if (r["at"], r["repeat"]) == (at, repeat)}
+            assert all(part[k][1 - at] == own[k][1 - at] for k in own) and len(part) == 800
+            assert sorted(x[at] for x in part.values()) == sorted(x[at] for x in own.values())
+            orders.add(tuple(part[k][at] for k in sorted(part)))
+    assert len(orders) == 6
+    base.unpersist()
+
+
+def test_importance_finds_the_feature_that_decides(spark, hour):
+    table = P.labelled(P.vectors(model_rows(spark, hour), ["x", "noise"], ["target_1h"]), "target_1h")
+    seen = table.withColumn("features", P.sliced(["x", "noise"], ["x", "noise"]))
+    model = P.estimator(trees=10, depth=4).fit(P.balanced(seen).select("features", F.col("y").cast("double").alias("y"), "weight"))
+    got = {r["feature"]: r for r in P.permutation_importance(model, seen, ["x", "noise"], 3).collect()}
+    assert got["x"]["importance_mean"] > 0.4 > 0.05 > abs(got["noise"]["importance_mean"])
+    empty = P.permutation_importance(model, seen.limit(0), ["x", "noise"], 3)
+    assert empty.count() == 0
+
+
+def test_feature_sets_are_slices_of_one_vector_and_train_is_judged(spark, hour):
+    out = P.compare_feature_sets(model_rows(spark, hour), {"x": ["x"], "both": ["noise", "x"], "noise": ["noise"]}, ["target_1h"], trees=5, depth=3).collect()
+    skill = {(r["experiment"], r["split"]): r["pr_auc"] for r in out}
+    assert {s for _, s in skill} == {"train", "validation", "test"}
+    assert min(skill["x", "test"], skill["both", "test"]) > 0.9 > skill["noise", "test"]
+
+
+def test_every_station_is_held_out_when_none_is_named(spark, hour):
+    out = P.leave_one_station_out(model_rows(spark, hour), ["x"], ["target_1h"], trees=5, depth=3)
+    assert {r["experiment"] for r in out.collect()} == {"a", "b"}
 
 
 def test_held_out_station_never_trains(spark, hour):
