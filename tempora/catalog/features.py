@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from tempora.catalog.registry import query
@@ -16,7 +14,8 @@ from tempora.operators import series as S
 from tempora.sources import views as V
 
 KEY = ["station_id", "timestamp_utc"]
-PROBE_HOUR = datetime(2024, 1, 15, 12)
+#: Probed are the hours whose number since 1970 divides by this; a sampling operator.
+PROBE_EVERY = 7
 SHORT_HISTORY = ["temperature_lag_1h", "humidity_change_1h", "precipitation_roll_sum_3h"]
 
 
@@ -268,32 +267,57 @@ def wind_encodings(spark, path):
 
 
 _PROBED = [n for n in X.FEATURES if n not in X.LOCATION]
-_PROBE_CHECK = "SELECT unnest([{}]) AS \"column\", (SELECT count(*) FROM stations) AS compared, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_abs_difference".format(
-    ", ".join(f"'{n}'" for n in _PROBED)
-)
+_AT = f"CAST(epoch(timestamp_utc) AS BIGINT) // 3600 % {PROBE_EVERY} = 0"
+_PROBE_CHECK = f"""SELECT unnest([{', '.join(f"'{n}'" for n in _PROBED)}]) AS "column", (SELECT count(*) FROM atmos WHERE {_AT}) AS compared, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_abs_difference"""
 
 
-def _probe(spark, path, change):
-    out = Q.probe(hours_of(spark, path), X.station_features, _PROBED, change, F.lit(PROBE_HOUR))
+def _probe(spark, path, change, build=X.station_features, columns=_PROBED, back=X.HISTORY_HOURS):
+    hours = hours_of(spark, path)
+    hour = F.expr(f"unix_seconds(timestamp_utc) DIV 3600 % {PROBE_EVERY} = 0")
+    out = Q.probe(hours, build, columns, change, V.spine(spark, path).filter(hour), back)
     return out.withColumn("max_abs_difference", F.round("max_abs_difference", 6))
 
 
 @query("truncation_probe", _PROBE_CHECK)
 def truncation_probe(spark, path):
-    """Features rebuilt from rows up to T equal the shipped row at T."""
-    return _probe(spark, path, Q.truncated(F.lit(PROBE_HOUR)))
+    """Features rebuilt from rows up to T equal the shipped row at T, at every seventh hour."""
+    return _probe(spark, path, Q.truncated(), back=2 * X.HISTORY_HOURS)
 
 
 @query("future_perturbation_probe", _PROBE_CHECK)
 def future_perturbation_probe(spark, path):
-    """Changed values after T leave the row at T as it is."""
-    return _probe(spark, path, Q.perturbed(F.lit(PROBE_HOUR), V.ATMOSPHERE))
+    """Changed values after T leave the row at T as it is, at every seventh hour."""
+    return _probe(spark, path, Q.perturbed(V.ATMOSPHERE))
 
 
 @query("history_length_probe", _PROBE_CHECK)
 def history_length_probe(spark, path):
-    """The last 25 hours are all that the row at T needs."""
-    return _probe(spark, path, Q.recent_only(F.lit(PROBE_HOUR), X.HISTORY_HOURS))
+    """The last 25 hours are all that the row at T needs, at every seventh hour."""
+    return _probe(spark, path, Q.recent_only(X.HISTORY_HOURS), back=2 * X.HISTORY_HOURS)
+
+
+def leaky(hours):
+    """Features with two planted faults: the next hour's humidity, and a mean over 31 hours."""
+    series = S.Chunked(hours, ["station_id"], "timestamp_utc", back=30, ahead=1)
+    humidity = F.col("relative_humidity_2m")
+    return series.select(
+        *hours.columns,
+        series.at(humidity, 1).alias("leaked_humidity"),
+        series.full_sum(humidity, -30, 0).alias("long_humidity_sum"),
+        series.at(humidity, -1).alias("honest_humidity"),
+    )
+
+
+_PLANTED = f"""SELECT "column", count(*) AS compared, count(*) FILTER (broken) AS mismatches FROM (
+  SELECT unnest([{{'column': 'leaked_humidity', 'broken': ahead IS NOT NULL}}, {{'column': 'long_humidity_sum', 'broken': k = 31}}, {{'column': 'honest_humidity', 'broken': false}}], recursive := true)
+  FROM (SELECT timestamp_utc, lead(relative_humidity_2m) OVER w AS ahead, count(relative_humidity_2m) OVER (w ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS k FROM atmos WINDOW w AS (PARTITION BY station_id ORDER BY timestamp_utc)) WHERE {_AT}) GROUP BY ALL"""
+
+
+@query("planted_leak_probe", _PLANTED)
+def planted_leak_probe(spark, path):
+    """The probe of history and future names each planted fault and counts the rows that it breaks."""
+    out = _probe(spark, path, Q.recent_only(X.HISTORY_HOURS), leaky, ["leaked_humidity", "long_humidity_sum", "honest_humidity"], 40)
+    return out.select("column", "compared", "mismatches")
 
 
 @query(

@@ -73,36 +73,53 @@ def same_values(left: DataFrame, right: DataFrame, columns: Sequence[str], toler
     )
 
 
+def replay_windows(hours: DataFrame, times: DataFrame, back: int, ahead: int) -> DataFrame:
+    """The rows of T-back..T+ahead for each (station_id, timestamp_utc) of ``times``, as a series of its own.
+
+    ``probe_time`` is T and ``offset`` the hours after it. Rows find the times by station and hour, an equi-join.
+    """
+    asked = times.select("station_id", F.col("timestamp_utc").alias("probe_time")).distinct()
+    asked = asked.select("*", F.explode(F.sequence(F.lit(-back), F.lit(ahead))).alias("offset"))
+    asked = asked.withColumn("timestamp_utc", F.timestamp_add("hour", F.col("offset"), F.col("probe_time")))
+    return hours.join(asked, KEY)
+
+
 def probe(
     hours: DataFrame,
     build: Callable[[DataFrame], DataFrame],
     columns: Sequence[str],
     change: Callable[[DataFrame], DataFrame],
-    at: Column,
+    times: DataFrame,
+    back: int,
+    ahead: int = 6,
     tolerance: float = 1e-9,
 ) -> DataFrame:
-    """Rebuild features from a changed history and compare the rows at T with the shipped ones."""
-    shipped = build(hours).filter(F.col("timestamp_utc") == at)
-    rebuilt = build(change(hours)).filter(F.col("timestamp_utc") == at)
+    """Rebuild features at every (station, T) of ``times`` from a changed history and compare them with the shipped ones.
+
+    All probes are one plan: each T is a series of its own rows, whose station is named after it, and ``change`` sees
+    how far a row lies from its T in ``offset``.
+    """
+    name = F.concat_ws(" ", "station_id", F.unix_seconds("probe_time"))
+    replayed = replay_windows(hours, times, back, ahead).withColumns({"probe_station": F.col("station_id"), "station_id": name})
+    rebuilt = build(change(replayed)).filter(F.col("timestamp_utc") == F.col("probe_time"))
+    rebuilt = rebuilt.select(F.col("probe_station").alias("station_id"), "timestamp_utc", *columns)
+    shipped = build(hours).join(times.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, *columns)
     return same_values(shipped, rebuilt, columns, tolerance)
 
 
-def truncated(at: Column) -> Callable[[DataFrame], DataFrame]:
+def truncated() -> Callable[[DataFrame], DataFrame]:
     """Keep only rows up to T."""
-    return lambda df: df.filter(F.col("timestamp_utc") <= at)
+    return lambda df: df.filter(F.col("offset") <= 0)
 
 
-def perturbed(at: Column, columns: Sequence[str], shift: float = 1234.5, hours: int = 6) -> Callable[[DataFrame], DataFrame]:
+def perturbed(columns: Sequence[str], shift: float = 1234.5) -> Callable[[DataFrame], DataFrame]:
     """Shift every value in the hours after T."""
-    ahead = F.unix_seconds("timestamp_utc") - F.unix_seconds(at)
-    future = (ahead > 0) & (ahead <= hours * 3600)
-    return lambda df: df.withColumns({c: F.when(future, F.col(c) + shift).otherwise(F.col(c)) for c in columns})
+    return lambda df: df.withColumns({c: F.when(F.col("offset") > 0, F.col(c) + shift).otherwise(F.col(c)) for c in columns})
 
 
-def recent_only(at: Column, hours: int) -> Callable[[DataFrame], DataFrame]:
-    """Keep only the last hours that the features may look at."""
-    age = F.unix_seconds(at) - F.unix_seconds("timestamp_utc")
-    return lambda df: df.filter(age <= hours * 3600)
+def recent_only(hours: int) -> Callable[[DataFrame], DataFrame]:
+    """Keep only the last hours that the features may look at, and nothing after T."""
+    return lambda df: df.filter(F.col("offset").between(-hours, 0))
 
 
 def split_order(bounds: DataFrame) -> DataFrame:
