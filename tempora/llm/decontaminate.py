@@ -3,8 +3,9 @@
 An item's windows are its runs of ten words (a shorter item is one window). A window is a set of word shingles, and a
 document contains it only if it contains every one of them; so it is enough to look a window up by one shingle, the
 necessary prefix, and the rarest one gives the fewest candidates. One pass over the texts finds where any benchmark
-shingle stands, with the words beside it; those places give the corpus frequencies that order the shingles. Candidates
-must fit by position (the window starts at or after word 0 and ends by the last word) and are then compared word by word.
+shingle stands; those places give the corpus frequencies that order the shingles. Candidates must fit by position (the
+window starts at or after word 0 and ends by the last word); each document then meets the list of its candidates once
+and compares them word by word, so no text travels with a shingle.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ascii_lower, fingerprint, when_small
+from tempora.llm.common import BROADCAST_BYTES, ascii_lower, fingerprint, when_small
 from tempora.session import stage
 
 WINDOW = 10
@@ -52,6 +53,13 @@ def _window_shingles(wins: DataFrame, lengths: list[int]) -> DataFrame:
     return out
 
 
+def _when_light(listed: DataFrame) -> DataFrame:
+    """Lists of candidates, marked for broadcast only if their counted bytes are below BROADCAST_BYTES."""
+    one = F.transform("fits", lambda c: F.octet_length(F.array_join(c["win"], " ")) + 16 * (F.size(c["win"]) + 2))
+    total = listed.agg(F.sum(F.aggregate(one, F.lit(32).cast("long"), lambda a, b: a + b))).first()[0] or 0
+    return F.broadcast(listed) if total <= BROADCAST_BYTES else listed
+
+
 def hits(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """(id, print, start, win): verified occurrences of windows in ``docs(doc_id, text)``."""
     lengths = sorted(r["k"] for r in wins.select("k").distinct().collect())  # SHINGLE values at most
@@ -66,14 +74,9 @@ def hits(docs: DataFrame, wins: DataFrame) -> DataFrame:
     # the outer form: the plain one infers a filter on the array, which would repeat the hashing inside each lambda
     places = None
     for k in lengths:
-        one = texts.select("id", "print", "_w", F.posexplode_outer(_shingle_hashes("_h", k)).alias("pos", "key"))
+        one = texts.select("id", "print", F.size("_w").alias("n"), F.posexplode_outer(_shingle_hashes("_h", k)).alias("pos", "key"))
         places = one if places is None else places.union(one)
-    # the words that a window around this place can cover
-    left = F.greatest(F.col("pos") - WINDOW + 1, F.lit(0))
-    near = F.slice("_w", left + 1, 2 * WINDOW)
-    found = stage(
-        places.join(keys, "key").select("id", "print", "key", "pos", left.alias("left"), near.alias("near"), F.size("_w").alias("n")), "places"
-    )
+    found = stage(places.join(keys, "key").select("id", "print", "key", "pos", "n"), "places")
     often = found.groupBy("key").agg(F.count("*").alias("df"))
     ranked = shingles.join(often, "key", "left").groupBy("win").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key", "off")).alias("rarest")
@@ -82,9 +85,16 @@ def hits(docs: DataFrame, wins: DataFrame) -> DataFrame:
     prefix = ranked.filter("rarest.df > 0").select("win", "rarest.key", "rarest.off", F.size("win").alias("len"))
     prefix = when_small(stage(prefix, "prefixes"), 256)
     start = F.col("pos") - F.col("off")
-    ok = (start >= 0) & (start + F.col("len") <= F.col("n"))
-    same = F.slice("near", start - F.col("left") + 1, F.col("len")) == F.col("win")
-    return found.join(prefix, "key").filter(ok & same).select("id", "print", start.alias("start"), "win").distinct()
+    fits = found.join(prefix, "key").filter((start >= 0) & (start + F.col("len") <= F.col("n")))
+    listed = fits.groupBy("id", "print").agg(F.collect_set(F.struct(start.alias("start"), "win")).alias("fits"))
+    listed = _when_light(stage(listed.withColumnsRenamed({"id": "_id", "print": "_print"}), "candidates"))
+    # texts meet their candidates once a document; the outer array holds a text's words for all of its comparisons
+    there = F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print"))
+    read = docs.select(F.col("doc_id").alias("id"), fingerprint(F.col("text")).alias("print"), "text").join(listed, there)
+    same = F.transform(
+        F.array(words(F.col("text"))), lambda w: F.filter("fits", lambda c: F.slice(w, c["start"] + 1, F.size(c["win"])) == c["win"])
+    )
+    return read.select("id", "print", F.explode(F.flatten(same)).alias("hit")).select("id", "print", "hit.*").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
