@@ -87,10 +87,13 @@ def hits(docs: DataFrame, wins: DataFrame) -> DataFrame:
     start = F.col("pos") - F.col("off")
     fits = found.join(prefix, "key").filter((start >= 0) & (start + F.col("len") <= F.col("n")))
     listed = fits.groupBy("id", "print").agg(F.collect_set(F.struct(start.alias("start"), "win")).alias("fits"))
-    listed = _when_light(stage(listed.withColumnsRenamed({"id": "_id", "print": "_print"}), "candidates"))
-    # texts meet their candidates once a document; the outer array holds a text's words for all of its comparisons
+    listed = stage(listed.withColumnsRenamed({"id": "_id", "print": "_print"}), "candidates")
     there = F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print"))
-    read = docs.select(F.col("doc_id").alias("id"), fingerprint(F.col("text")).alias("print"), "text").join(listed, there)
+    # only texts with candidates go to the lists, once a document
+    asked = docs.select(F.col("doc_id").alias("id"), fingerprint(F.col("text")).alias("print"), "text")
+    asked = asked.join(when_small(listed.select("_id", "_print"), 16), there, "left_semi")
+    read = asked.join(_when_light(listed), there)
+    # the outer array holds a text's words for all of its comparisons
     same = F.transform(
         F.array(words(F.col("text"))), lambda w: F.filter("fits", lambda c: F.slice(w, c["start"] + 1, F.size(c["win"])) == c["win"])
     )
