@@ -136,6 +136,8 @@ def forest_importance(spark, path):
     names = X.FEATURES + V.MODEL
     rows = P.labelled(P.vectors(model_table(spark, path), names, ["target_1h"]), "target_1h").withColumn("features", P.sliced(names, names))
     train = P.balanced(rows.filter(F.col("split") == "train")).select("features", F.col("y").cast("double").alias("y"), "weight")
+    if train.isEmpty():  # no complete hour, no model
+        return spark.createDataFrame([], "feature string, importance double, importance_mean double, importance_std double, impurity_rank int, permutation_rank int")
     model = P.estimator(trees=TREES, depth=DEPTH).fit(train)
     permuted = P.permutation_importance(model, rows.filter(F.col("split") == "validation"), names)
     both = P.impurity_importance(model, names).join(permuted, "feature").withColumn("_g", F.lit(1))

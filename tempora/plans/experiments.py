@@ -111,10 +111,14 @@ def sliced(features: Sequence[str], wanted: Sequence[str]) -> Column:
 def fit_and_score(
     rows: DataFrame, features: Sequence[str], wanted: Sequence[str], target: str, name: Column, **options
 ) -> DataFrame:
-    """Train on the train part of ``vectors`` rows and score every part; ``name`` marks the experiment."""
+    """Train on the train part of ``vectors`` rows and score every part; ``name`` marks the experiment.
+
+    Without a complete train row there is no model and no score.
+    """
     known = labelled(rows, target).select(*KEY, "split", "y", sliced(features, wanted))
     train = balanced(known.filter(F.col("split") == "train")).select("features", F.col("y").cast("double").alias("y"), "weight")
-    scored = estimator(**options).fit(train).transform(known)
+    empty = train.isEmpty()
+    scored = known.limit(0).withColumn("probability", F.col("features")) if empty else estimator(**options).fit(train).transform(known)
     return scored.select(name.alias("experiment"), F.lit(target).alias("lead"), "split", *KEY, vector_to_array("probability")[1].alias("p"), "y")
 
 

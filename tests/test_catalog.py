@@ -171,6 +171,11 @@ def test_feature_sets_are_slices_of_one_vector_and_train_is_judged(spark, hour):
     assert min(skill["x", "test"], skill["both", "test"]) > 0.9 > skill["noise", "test"]
 
 
+def test_without_complete_rows_there_is_no_score(spark, hour):
+    table = model_rows(spark, hour).withColumn("x", F.lit(None).cast("double"))
+    assert P.compare_feature_sets(table, {"x": ["x"]}, ["target_1h"], trees=5, depth=3).count() == 0
+
+
 def test_every_station_is_held_out_when_none_is_named(spark, hour):
     out = P.leave_one_station_out(model_rows(spark, hour), ["x"], ["target_1h"], trees=5, depth=3)
     assert {r["experiment"] for r in out.collect()} == {"a", "b"}
