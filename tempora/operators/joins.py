@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions.clock import from_hour_index, minutes_between
 from tempora.functions.values import percent
+from tempora.operators.profile import correlation, per_column
 
 KEY = ["station_id", "timestamp_utc"]
 
@@ -165,13 +166,19 @@ def guarded_dimension(df: DataFrame, dim: DataFrame, key: str, value: str) -> tu
 
 
 def compare_sources(left: DataFrame, right: DataFrame, pairs: dict[str, tuple[str, str]], keys: Sequence[str] = tuple(KEY)) -> DataFrame:
-    """Mean and largest absolute difference and correlation of column pairs, one row per pair."""
+    """Mean and largest absolute difference and correlation of column pairs, one row per pair.
+
+    The correlation is unknown when a side does not vary.
+    """
     joined = left.join(right, list(keys))
-    rows: Column = F.array(
-        *[F.struct(F.lit(n).alias("variable"), F.col(a).alias("a"), F.col(b).alias("b")) for n, (a, b) in pairs.items()]
-    )
-    flat = joined.select(F.explode(rows).alias("r")).select("r.*").filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    gap = F.abs(F.col("a") - F.col("b"))
-    return flat.groupBy("variable").agg(
-        F.count("*").alias("n"), F.avg(gap).alias("mean_abs_diff"), F.max(gap).alias("max_abs_diff"), F.corr("a", "b").alias("correlation")
-    )
+    figures = {}
+    for name, (a, b) in pairs.items():
+        one, other = F.col(a), F.col(b)
+        gap = F.abs(one - other)
+        figures[name] = {
+            "n": F.count_if(one.isNotNull() & other.isNotNull()),
+            "mean_abs_diff": F.avg(gap),
+            "max_abs_diff": F.max(gap),
+            "correlation": correlation(one, other),
+        }
+    return per_column(joined, [], figures).filter(F.col("n") > 0)

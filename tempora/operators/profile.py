@@ -18,22 +18,46 @@ def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame
     )
 
 
+def per_column(df: DataFrame, by: Sequence[str], figures: dict[str, dict[str, Column]]) -> DataFrame:
+    """One row per group and variable from ``{variable: {figure: aggregate}}``.
+
+    All figures are aggregated side by side, so a task sends one row per group, not one per row and column; only the
+    result is unrolled. A table without rows gives no figures.
+    """
+    # a figure's place in the list names its columns, so variables may have any name
+    wide = df.groupBy(*by).agg(
+        F.count("*").alias("_rows"), *[value.alias(f"_{i}_{name}") for i, each in enumerate(figures.values()) for name, value in each.items()]
+    )
+    items = [
+        F.struct(F.lit(variable).alias("variable"), *[F.col(f"_{i}_{name}").alias(name) for name in each])
+        for i, (variable, each) in enumerate(figures.items())
+    ]
+    return wide.filter(F.col("_rows") > 0).select(*by, F.inline(F.array(*items)))
+
+
 def column_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Missing values, share, smallest, largest and mean of each column, from one pass."""
-    value = F.col("value")
-    missing = F.count_if(value.isNull())
-    return (
-        melt(df, list(by), columns)
-        .groupBy(*by, "variable")
-        .agg(
-            F.count("*").alias("n"),
-            missing.alias("n_missing"),
-            F.round(missing * F.lit(100.0) / F.count("*"), 4).alias("missing_pct"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-            F.avg(value).alias("mean"),
-        )
-    )
+
+    def figures(name: str) -> dict[str, Column]:
+        value = F.col(name).cast("double")
+        missing = F.count_if(value.isNull())
+        return {
+            "n": F.count("*"),
+            "n_missing": missing,
+            "missing_pct": F.round(missing * F.lit(100.0) / F.count("*"), 4),
+            "min": F.min(value),
+            "max": F.max(value),
+            "mean": F.avg(value),
+        }
+
+    return per_column(df, by, {c: figures(c) for c in columns})
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of the rows where both sides are known, from their merged moments; NULL when a side does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.when(spread != 0, F.covar_pop(a, b) / spread)
 
 
 def rate_by(df: DataFrame, keys: Sequence[Column | str], digits: int = 3) -> DataFrame:
@@ -65,12 +89,13 @@ def right_closed_bin(value: Column, edges: Sequence[float], names: Sequence[str]
 
 
 def correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """Pearson correlation of each column with the target, 0 when a side does not vary."""
-    long = melt(df, [target], columns).filter(F.col("value").isNotNull() & F.col(target).isNotNull())
-    flat = (F.stddev_pop("value") == 0) | (F.stddev_pop(target) == 0)
-    return long.groupBy("variable").agg(
-        F.count("*").alias("n"), F.when(flat, F.lit(0.0)).otherwise(F.corr("value", target)).alias("r")
-    )
+    """Pearson correlation of each column with the target, 0 when a side does not vary; columns never known with it are left out."""
+    goal = F.col(target).cast("double")
+    figures = {}
+    for name in columns:
+        value = F.col(name).cast("double")
+        figures[name] = {"n": F.count_if(value.isNotNull() & goal.isNotNull()), "r": F.coalesce(correlation(value, goal), F.lit(0.0))}
+    return per_column(df, [], figures).filter(F.col("n") > 0)
 
 
 def step_report(df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int = 3600) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import degrees, radians
+from collections.abc import Callable, Sequence
+from math import asin, degrees, radians, sin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tempora.functions import geo
 from tempora.functions.values import ratio
 from tempora.operators.joins import with_every
+from tempora.session import stage
 
-# No place of a one-degree cell is farther than this from the middle of the cell.
-CELL_REACH_KM = geo.EARTH_KM * radians(0.5) * 2**0.5 * 1.001
+#: Sides of the cells of a pyramid in degrees, coarse to fine; each is a multiple of the next, and the last is 1.
+LEVELS = (16, 4, 1)
 
 
 def _cell(x: Column) -> Column:
@@ -75,21 +76,76 @@ def radius_counts(points: DataFrame, anchors: DataFrame, radii: Sequence[int], k
     return dim.join(facts, ["station_id", "lightning_type", "radius_km"], "left").withColumns(zero)
 
 
+def cell_reach_km(side: int) -> float:
+    """No place of a cell of that side in degrees is farther than this from the middle of the cell."""
+    return 2 * geo.EARTH_KM * asin(2**0.5 * sin(radians(side / 4))) * 1.001
+
+
+def pyramid(points: DataFrame, group: Sequence[str], valid: Column | None = None) -> DataFrame:
+    """One row per group with its occupied cells as nested lists, coarse cells outside; groups without valid points keep a row.
+
+    The globe bounds every list: a cell holds 16 finer ones, and a group at most 64,800 cells of a degree however many
+    points it has. Points combine to cells where they are read, so a group with most of all points is no single task.
+    """
+    here = F.lit(True) if valid is None else valid
+    keys = [f"_{axis}{side}" for side in LEVELS for axis in ("lat", "lon")]
+    cells = with_cell(points).select(
+        *group,
+        *[F.when(here, F.floor(F.col(c) / side)).alias(f"_{axis}{side}") for side in LEVELS for axis, c in (("lat", "_clat"), ("lon", "_clon"))],
+    )
+    rows = cells.groupBy(*group, *keys).agg(F.lit(1).alias("_one"))
+    inner: Column | None = None
+    for depth in range(len(LEVELS) - 1, -1, -1):
+        side = LEVELS[depth]
+        place = [F.col(f"_lat{side}").alias("lat"), F.col(f"_lon{side}").alias("lon")]
+        item = F.struct(*place) if inner is None else F.struct(*place, inner.alias("inner"))
+        # a list leaves nulls out, so a group's invalid points add no cell
+        listed = F.collect_list(F.when(F.col(f"_lat{side}").isNotNull(), item))
+        rows = rows.groupBy(*group, *keys[: 2 * depth]).agg(listed.alias("_cells"))
+        inner = F.col("_cells")
+    return rows
+
+
+def nearest_cells(cells: Column) -> Column:
+    """The one-degree cells of a pyramid that can hold the point nearest to ``latitude``, ``longitude``.
+
+    Level by level, a cell goes whose middle is farther than the best middle by more than twice the reach of a cell, as
+    the best cell holds a nearer point; only the finer cells of those that stay are looked at.
+    """
+    for depth, side in enumerate(LEVELS):
+        far = F.transform(cells, lambda c: F.struct(_middle_km(c, side).alias("km"), c.alias("cell")))
+        kept = _bound(far, lambda seen: _bound(_least(seen), lambda best: F.filter(seen, lambda c: c["km"] - best <= 2 * cell_reach_km(side))))
+        if depth + 1 < len(LEVELS):
+            cells = F.flatten(F.transform(kept, lambda c: c["cell"]["inner"]))
+        else:
+            cells = F.transform(kept, lambda c: F.struct(c["cell"]["lat"].alias("_clat"), c["cell"]["lon"].alias("_clon")))
+    return cells
+
+
+def _middle_km(cell: Column, side: int) -> Column:
+    return geo.haversine_km(F.col("latitude"), F.col("longitude"), (cell["lat"] + 0.5) * side, (cell["lon"] + 0.5) * side)
+
+
+def _least(far: Column) -> Column:
+    return F.array_min(F.transform(far, lambda c: c["km"]))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body or its own lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def nearest(points: DataFrame, anchors: DataFrame, group: Sequence[str], payload: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Nearest point of each anchor within each group, ties by ``order``.
 
-    Each group is summed up by its occupied cells. A cell whose middle is farther than the best middle by more than
-    twice the reach of a cell cannot hold the nearest point, so only the points of the few remaining cells are compared.
-    Anchors must carry the group columns.
+    Anchors descend the pyramid of their group's cells, and only the points of the few remaining cells are compared.
+    Anchors must carry the group columns; an anchor whose group has no point has no row.
     """
-    cells = with_cell(points).groupBy(*group, "_clat", "_clon").agg(F.lit(1).alias("_one")).drop("_one")
-    middle = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("_clat") + 0.5, F.col("_clon") + 0.5)
     ids = [*group, "station_id"]
-    # without groups there is one world of at most 64,800 cells
-    pairs = anchors.join(cells, list(group)) if group else with_every(anchors, cells, ["_clat", "_clon"])
-    reach = pairs.withColumn("_d", middle)
-    best = reach.groupBy(*ids).agg(F.min("_d").alias("_best"))
-    wanted = reach.join(best, ids).filter(F.col("_d") - F.col("_best") <= 2 * CELL_REACH_KM).drop("_d", "_best")
+    tops = pyramid(points, group)
+    # without groups there is one world of at most 64,800 cells, which travels as one value
+    placed = anchors.join(tops, list(group)) if group else anchors.withColumn("_cells", tops.scalar())
+    wanted = placed.select(*anchors.columns, F.explode(nearest_cells(F.col("_cells"))).alias("_c")).select(*anchors.columns, "_c.*")
     near = with_cell(points).join(wanted, [*group, "_clat", "_clon"]).withColumn("distance_km", distance())
     pick = F.struct(F.col("distance_km"), *[F.col(c) for c in order])
     return near.groupBy(*ids).agg(F.min_by(F.struct("distance_km", *payload), pick).alias("_n")).select(*ids, "_n.*")
@@ -117,14 +173,16 @@ def scan_features(pixels: DataFrame, anchors: DataFrame, radius_km: float = 25.0
         F.count_if(in_reach & geo.is_clear(F.col("cls"))).alias("_clear"),
     )
     local = local.select(*ids, "_n.*", "valid_pixels", "_cloudy", "_clear")
-    scans = pixels.select("scan_id").distinct()
-    grid = with_every(scans, where, where.columns)
-    empty = grid.join(local.select(*ids), ids, "left_anti")
-    far = nearest(valid, empty, ["scan_id"], ["row", "col", "cls"], ["row", "col"])
-    zero = F.lit(0).cast("bigint")
-    far = far.withColumns({"valid_pixels": zero, "_cloudy": zero, "_clear": zero})
-    found = local.unionByName(far)
-    out = grid.select(*ids).join(found, ids, "left")
+    # every scan has its pyramid, and only where a station's box is empty is it descended
+    tops = pyramid(pixels.select("scan_id", "lat", "lon", "cls"), ["scan_id"], ok)
+    grid = with_every(tops, where, where.columns).join(local, ids, "left")
+    sought = F.when(F.col("valid_pixels").isNull(), nearest_cells(F.col("_cells")))
+    grid = stage(grid.withColumn("_near", sought).drop("_cells"), "scan_grid")
+    wanted = grid.select(*ids, "latitude", "longitude", F.explode("_near").alias("_c")).select(*ids, "latitude", "longitude", "_c.*")
+    far = with_cell(valid).join(wanted, ["scan_id", "_clat", "_clon"]).withColumn("distance_km", distance())
+    far = far.groupBy(*ids).agg(F.min_by(payload, F.struct("distance_km", "row", "col")).alias("_f"))
+    out = grid.join(far, ids, "left")
+    out = out.withColumns({c: F.coalesce(F.col(c), F.col("_f")[c]) for c in ("distance_km", "row", "col", "cls")})
     return out.select(
         *ids,
         F.col("cls").alias("cloud_mask"),

@@ -1,11 +1,14 @@
 import math
+import random
 from datetime import timedelta
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from tempora.operators import joins as J
 from tempora.operators import spatial as P
+from tempora.operators.profile import column_profile, correlations
 
 
 def hours_df(spark, hour, ns):
@@ -106,6 +109,51 @@ def test_nearest_matches_brute_force(spark):
             assert got[(g, s)] == near[1]
 
 
+def test_nearest_descends_the_pyramid_at_poles_and_the_date_line(spark):
+    rng = random.Random(5)
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)]
+    points += [(300, 90.0, 10.0), (301, -90.0, 0.0), (302, 12.0, 180.0), (303, 12.0, -180.0), (304, 0.0, 16.0), (305, 4.0, 16.0)]
+    places = [("north", 90.0, -170.0), ("south", -89.9, 100.0), ("east", 12.0, 179.9), ("west", 12.1, -179.9), ("edge", 2.0, 16.0)]
+    places += [(f"a{i}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)]
+    p = spark.createDataFrame(points, "point_id int, lat double, lon double")
+    a = spark.createDataFrame(places, "station_id string, latitude double, longitude double")
+    got = dict(rows(P.nearest(p, a, [], ["point_id"], ["point_id"]).select("station_id", "point_id")))
+    km = {(s, i): brute_distance(la, lo, x, y) for s, la, lo in places for i, x, y in points}
+    for s, _, _ in places:
+        assert km[s, got[s]] <= min(km[s, i] for i, _, _ in points) + 1e-6
+    assert got["north"] == 300 and {got["east"], got["west"]} <= {302, 303}
+
+
+def test_only_the_finest_cells_near_an_anchor_are_left(spark):
+    every = spark.range(180 * 360).select((F.expr("id div 360") - 89.5).alias("lat"), (F.col("id") % 360 - 179.5).alias("lon"))
+    top = P.pyramid(every, [])
+    at = spark.createDataFrame([("s", 10.2, 20.7), ("line", 40.0, 179.99)], "station_id string, latitude double, longitude double")
+    left = at.withColumn("_cells", top.scalar()).select("station_id", F.size(P.nearest_cells(F.col("_cells"))).alias("n"))
+    assert all(0 < n < 40 for _, n in rows(left))
+
+
+def test_scan_features_read_pixels_three_times(spark, tmp_path):
+    px = spark.createDataFrame([("x", 0, 0, 1.0, 1.0, 0)], "scan_id string, row int, col int, lat double, lon double, cls int")
+    px.write.parquet(str(tmp_path / "px"))
+    a = spark.createDataFrame([("s", 1.0, 1.0), ("far", -70.0, 179.0)], "station_id string, latitude double, longitude double")
+    out = P.scan_features(spark.read.parquet(str(tmp_path / "px")), a)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # two passes fill the staged grid of scans and stations, this last one fetches pixels of the far cells
+    assert plan.count("lat#") > 0 and len([x for x in plan.splitlines() if "Relation" in x and "cls#" in x and "lat#" in x]) == 1
+    assert {r["station_id"]: r["row"] for r in out.collect()} == {"s": 0, "far": 0}
+
+
+def test_wide_figures_equal_those_of_each_column(spark):
+    data = [(1, 1.0, None, 3.0), (1, 2.0, 5.0, 3.0), (2, None, 7.0, 3.0), (2, 4.0, 1.0, 3.0)]
+    df = spark.createDataFrame(data, "g int, a double, b double, flat double")
+    got = {(r["g"], r["variable"]): (r["n"], r["n_missing"], r["min"], r["max"]) for r in column_profile(df, ["a", "b"], ["g"]).collect()}
+    assert got == {(1, "a"): (2, 0, 1.0, 2.0), (1, "b"): (2, 1, 5.0, 5.0), (2, "a"): (2, 1, 4.0, 4.0), (2, "b"): (2, 0, 1.0, 7.0)}
+    assert column_profile(df.limit(0), ["a"]).count() == 0
+    r = {x["variable"]: (x["n"], x["r"]) for x in correlations(df, ["b", "flat"], "a").collect()}
+    assert r["b"] == (2, pytest.approx(-1.0)) and r["flat"] == (3, 0.0)
+    assert correlations(df.filter("g = 3"), ["b"], "a").count() == 0
+
+
 def test_pixel_shares(spark):
     at = [(0, 1.0, 1.0, 0), (1, 1.0, 1.01, 1), (2, 1.01, 1.0, 2), (3, 1.01, 1.01, 3), (4, 1.0, 1.0, 9)]
     px = spark.createDataFrame([("x", i, 0, la, lo, c) for i, la, lo, c in at], "scan_id string, row int, col int, lat double, lon double, cls int")
