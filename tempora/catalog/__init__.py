@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("labels", "features", "joins", "aggregates", "evaluate", "cases", "checks", "streams", "sources", "models")
+_MODULES = ("labels", "features", "joins", "aggregates", "evaluate", "cases", "checks", "faults", "streams", "sources", "models")
 
 
 def load():

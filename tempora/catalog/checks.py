@@ -295,9 +295,8 @@ def context_changes_no_score(spark, path):
     names = [*KEY, "p_1h", "p_2h", "p_3h"]
     plain = scores_only(spark, path).select(*names)
     with_context = J.attach_context(plain, aligned_of(spark, path), ["gid", "cloudy"]).select(*names)
-    lost = plain.exceptAll(with_context).agg(F.count("*").alias("n"))
-    added = with_context.exceptAll(plain).agg(F.count("*").alias("n"))
-    return Q.union([Q.check_rows(lost, {"scores_lost": "n"}), Q.check_rows(added, {"scores_added": "n"})])
+    return Q.same_rows(plain, with_context)
+
 
 
 @query("full_snapshot", "SELECT station_id, timestamp_utc, p_1h, alert_1h, data_status FROM alerts")
@@ -413,30 +412,12 @@ def calendar_years(spark, path):
     _passed("label_is_binary", "strict_not_above_label", "label_not_above_recovered", "unknown_stays_unknown", "flag_matches_label"),
 )
 def label_domain(spark, path):
-    out = L.label_variants(V.bodies(spark, path), V.spine(spark, path))
-    label, strict, recovered = F.col("label"), F.col("label_strict"), F.col("label_recovered")
-    return Q.rule_check(
-        out,
-        {
-            "label_is_binary": Q.binary("label") | Q.binary("label_strict") | Q.binary("label_recovered"),
-            "strict_not_above_label": strict > label,
-            "label_not_above_recovered": label > recovered,
-            "unknown_stays_unknown": (F.col("n_reports") == 0) & label.isNotNull(),
-            "flag_matches_label": (F.col("wx_field_observed") == 1) & (F.col("n_reports_with_wx") == 0),
-        },
-    )
+    return Q.label_rules(L.label_variants(V.bodies(spark, path), V.spine(spark, path)))
 
 
 @query("target_checks", _passed("targets_binary", "unknown_not_zero", "flag_matches_value"))
 def target_checks(spark, path):
-    out = targets_of(spark, path)
-    binary, zero, flag = F.lit(False), F.lit(False), F.lit(False)
-    for k in V.LEADS:
-        value, seen = F.col(f"target_{k}h"), F.col(f"target_{k}h_observed")
-        binary = binary | F.coalesce(Q.binary(f"target_{k}h"), F.lit(False))
-        zero = zero | F.coalesce((seen == 0) & (value == 0), F.lit(False))
-        flag = flag | ((seen == 1) != value.isNotNull())
-    return Q.rule_check(out, {"targets_binary": binary, "unknown_not_zero": zero, "flag_matches_value": flag})
+    return Q.target_rules(targets_of(spark, path), V.LEADS)
 
 
 @query(
@@ -469,50 +450,30 @@ def held_out_absent(spark, path):
 @query("score_checks", _passed("probability_in_unit_interval", "alert_follows_threshold", "unknown_target_not_scored", "bins_cover_all"))
 def score_checks(spark, path):
     scored = scored_of(spark, path)
-    p = F.col("p")
-    rules = Q.rule_check(
-        scored,
-        {
-            "probability_in_unit_interval": ~p.between(0, 1),
-            "alert_follows_threshold": F.col("alert") != (p >= E.THRESHOLD).cast("int"),
-            "unknown_target_not_scored": F.col("y").isNull(),
-        },
-    )
+    return Q.score_rules(scored, E.THRESHOLD).unionByName(bins_cover(scored))
+
+
+def bins_cover(scored):
     binned = E.bin_table(scored).agg(F.sum("n")).scalar()
     lost = scored.agg(F.count("*").alias("n")).select(F.abs(F.col("n") - binned).alias("d"))
-    return rules.unionByName(Q.check_rows(lost, {"bins_cover_all": "d"}))
+    return Q.check_rows(lost, {"bins_cover_all": "d"})
 
 
 @query("alignment_checks", _passed("age_within_limit", "end_not_after_hour", "unmatched_is_empty", "unique_key", "source_in_inventory"))
 def alignment_checks(spark, path):
-    aligned = aligned_of(spark, path)
-    matched = F.col("sat_available") == 1
-    rules = Q.rule_check(
-        aligned,
-        {
-            "age_within_limit": matched & ~F.col("age_minutes").between(0, 90),
-            "end_not_after_hour": matched & (F.col("acq_end") > F.col("timestamp_utc")),
-            "unmatched_is_empty": ~matched & (F.col("gid").isNotNull() | F.col("cloudy").isNotNull() | F.col("age_minutes").isNotNull()),
-        },
-    )
-    foreign = aligned.filter(matched).join(V.scans(spark, path), "gid", "left_anti").agg(F.count("*").alias("n"))
-    return Q.union([rules, Q.unique_key(aligned), Q.check_rows(foreign, {"source_in_inventory": "n"})])
+    return Q.alignment_rules(aligned_of(spark, path), V.scans(spark, path))
 
 
 @query("extraction_checks", _passed("fractions_in_unit_interval", "fill_is_no_class", "unavailable_is_empty", "rows_are_scans_by_stations"))
 def extraction_checks(spark, path):
     rows = scan_features_of(spark, path)
-    rules = Q.rule_check(
-        rows,
-        {
-            "fractions_in_unit_interval": ~F.col("cloudy_fraction").between(0, 1) | ~F.col("clear_fraction").between(0, 1),
-            "fill_is_no_class": F.col("cloud_mask") == geo.FILL_CLASS,
-            "unavailable_is_empty": (F.col("available") == 0) & F.col("cloud_mask").isNotNull(),
-        },
-    )
+    return Q.extraction_rules(rows, geo.FILL_CLASS).unionByName(all_pairs_there(spark, path, rows))
+
+
+def all_pairs_there(spark, path, rows):
     expected = V.pixels(spark, path).select("scan_id").distinct().agg(F.count("*") * len(V.STATIONS)).scalar()
     lost = rows.agg(F.count("*").alias("n")).select(F.abs(F.col("n") - expected).alias("d"))
-    return rules.unionByName(Q.check_rows(lost, {"rows_are_scans_by_stations": "d"}))
+    return Q.check_rows(lost, {"rows_are_scans_by_stations": "d"})
 
 
 _HASHED = ["station_id", "timestamp_utc", "target", "label_status"]

@@ -33,11 +33,11 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def grid_check(df: DataFrame, keys: Sequence[str] = ("station_id",), ts: str = "timestamp_utc") -> DataFrame:
-    """Hourly, gap-free and on the hour."""
+    """Hourly, gap-free and on the hour. Times off the hour are extra and make up for no lost hour."""
     report = step_report(df, keys, ts)
-    totals = report.agg(
-        F.sum("gaps").alias("gaps"), F.sum("short_steps").alias("short"), F.sum("off_grid").alias("off"), F.sum("missing_steps").alias("lost")
-    )
+    due = F.floor(F.unix_seconds("last") / 3600) - F.ceil(F.unix_seconds("first") / 3600) + 1
+    lost = due - (F.col("unique_times") - F.col("off_grid"))
+    totals = report.agg(F.sum("gaps").alias("gaps"), F.sum("short_steps").alias("short"), F.sum("off_grid").alias("off"), F.sum(lost).alias("lost"))
     return check_rows(totals, {"no_gaps": "gaps", "no_short_steps": "short", "on_the_hour": "off", "no_missing_hours": "lost"})
 
 
@@ -122,6 +122,80 @@ def recent_only(hours: int) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.filter(F.col("offset").between(-hours, 0))
 
 
+def label_rules(labels: DataFrame) -> DataFrame:
+    """Variants of an hourly label: binary, ordered, unknown without reports, and a flag that agrees with the counts."""
+    label, strict, recovered = F.col("label"), F.col("label_strict"), F.col("label_recovered")
+    return rule_check(
+        labels,
+        {
+            "label_is_binary": binary("label") | binary("label_strict") | binary("label_recovered"),
+            "strict_not_above_label": strict > label,
+            "label_not_above_recovered": label > recovered,
+            "unknown_stays_unknown": (F.col("n_reports") == 0) & label.isNotNull(),
+            "flag_matches_label": (F.col("wx_field_observed") == 1) & (F.col("n_reports_with_wx") == 0),
+        },
+    )
+
+
+def target_rules(targets: DataFrame, leads: Sequence[int]) -> DataFrame:
+    """Targets of all leads: binary, never 0 for unknown, and a flag that says whether the value is known."""
+    wrong, zero, flag = F.lit(False), F.lit(False), F.lit(False)
+    for k in leads:
+        value, seen = F.col(f"target_{k}h"), F.col(f"target_{k}h_observed")
+        wrong = wrong | F.coalesce(binary(f"target_{k}h"), F.lit(False))
+        zero = zero | F.coalesce((seen == 0) & (value == 0), F.lit(False))
+        flag = flag | ((seen == 1) != value.isNotNull())
+    return rule_check(targets, {"targets_binary": wrong, "unknown_not_zero": zero, "flag_matches_value": flag})
+
+
+def score_rules(scored: DataFrame, threshold: float) -> DataFrame:
+    """Scored rows: a probability, the alert that the threshold gives, and a known target."""
+    p = F.col("p")
+    return rule_check(
+        scored,
+        {
+            "probability_in_unit_interval": ~p.between(0, 1),
+            "alert_follows_threshold": F.col("alert") != (p >= threshold).cast("int"),
+            "unknown_target_not_scored": F.col("y").isNull(),
+        },
+    )
+
+
+def alignment_rules(aligned: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Hours beside their scan: age and order, nothing without a match, one row an hour, only listed scans."""
+    matched = F.col("sat_available") == 1
+    rules = rule_check(
+        aligned,
+        {
+            "age_within_limit": matched & ~F.col("age_minutes").between(0, 90),
+            "end_not_after_hour": matched & (F.col("acq_end") > F.col("timestamp_utc")),
+            "unmatched_is_empty": ~matched & (F.col("gid").isNotNull() | F.col("cloudy").isNotNull() | F.col("age_minutes").isNotNull()),
+        },
+    )
+    foreign = aligned.filter(matched).join(inventory, "gid", "left_anti").agg(F.count("*").alias("n"))
+    return union([rules, unique_key(aligned), check_rows(foreign, {"source_in_inventory": "n"})])
+
+
+def extraction_rules(rows: DataFrame, fill: int) -> DataFrame:
+    """Pixel features: shares in 0..1, no class for the fill value, nothing where no pixel is valid."""
+    return rule_check(
+        rows,
+        {
+            "fractions_in_unit_interval": ~F.col("cloudy_fraction").between(0, 1) | ~F.col("clear_fraction").between(0, 1),
+            "fill_is_no_class": F.col("cloud_mask") == fill,
+            "unavailable_is_empty": (F.col("available") == 0) & F.col("cloud_mask").isNotNull(),
+        },
+    )
+
+
+def same_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows that a step lost or added, repeats counted; each side is read once."""
+    sides = before.withColumn("_side", F.lit(1)).unionAll(after.withColumn("_side", F.lit(-1)))
+    net = sides.groupBy(*before.columns).agg(F.sum("_side").alias("n"))
+    total = net.agg(F.sum(F.greatest("n", F.lit(0))).alias("lost"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("added"))
+    return check_rows(total, {"scores_lost": "lost", "scores_added": "added"})
+
+
 def split_order(bounds: DataFrame) -> DataFrame:
     """Every split ends before the next begins."""
     times = {s: F.max(F.when(F.col("split") == s, F.struct("first", "last"))) for s in ("train", "validation", "test")}
