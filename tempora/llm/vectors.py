@@ -5,8 +5,10 @@ share a shard. Each shard prunes a graph of its vectors (a neighbour is kept onl
 the factor ALPHA), the adjacency lists of a vector are united over its shards, and each shard is searched along the united
 lists: greedily from the medoid towards the query, and then on through every vector in range. Pairs in range are verified
 as cosines in double precision; a pair is counted by the first shard that holds both. Recall is audited on
-queries against all vectors, by distinct pairs; below MIN_RECALL the overlap is raised and the search runs again. Where
-too few queries have a partner to tell, it is raised until the search itself finds hardly any more pairs.
+queries against all vectors, as the mean share of its own partners that a query finds, for queries with up to FEW
+partners and for those in a crowd apart, so that no crowd hides what sparse vectors lose; below MIN_RECALL in either part
+the overlap is raised and the search runs again. Where too few sparse queries have a partner to tell, it is raised until
+the search itself finds hardly any more.
 
 Equal vectors are one class with a multiplicity, so a vector that repeats without end costs one place. A shard
 above CROWD rows is dealt in blocks, and every two of its blocks are compared whole in a task of their own; no row is
@@ -42,7 +44,9 @@ BLOCK = 600
 #: Cosines this far below the threshold are still walked through.
 SLACK = 0.08
 AUDIT = 256
-#: Queries with partners that an audit needs, and further queries when the first have fewer.
+#: Partners up to which a query counts as sparse; sparse queries with partners that an audit needs, and further queries
+#: when the first have fewer.
+FEW = 64
 EVIDENCE = 30
 MORE_AUDIT = 4096
 MIN_RECALL = 0.95
@@ -282,7 +286,7 @@ def audit(own: DataFrame, cosine: float) -> dict[int, int]:
     for most in (AUDIT, MORE_AUDIT):
         asked = own.orderBy(F.xxhash64("vec", F.lit("audit"))).limit(most).collect()
         asked = [r for r in asked if r["vec"] not in truth]
-        if not asked or sum(n > 0 for n in truth.values()) >= EVIDENCE:
+        if not asked or sum(0 < n <= FEW for n in truth.values()) >= EVIDENCE:
             break
         ids, queries = np.array([r["vec"] for r in asked]), np.array([r["unit"] for r in asked])
         shared = own.sparkSession.sparkContext.broadcast((ids, queries))
@@ -291,22 +295,42 @@ def audit(own: DataFrame, cosine: float) -> dict[int, int]:
     return truth
 
 
-def audited_links(own: DataFrame, means: np.ndarray, overlap: int, cosine: float) -> DataFrame:
-    """Links at the first overlap that the audit, or for want of partners the search at half the overlap, bears out."""
+def recalls(truth: dict[int, int], seen: dict[int, int]) -> dict[str, float]:
+    """Mean share of its partners that a query finds, apart for sparse queries and those in a crowd; none without partners."""
+    parts = {"sparse": [v for v, n in truth.items() if 0 < n <= FEW], "crowded": [v for v, n in truth.items() if n > FEW]}
+    return {name: float(np.mean([min(1.0, seen.get(v, 0) / truth[v]) for v in own])) for name, own in parts.items() if own}
+
+
+def _gained_little(before: DataFrame, now: DataFrame) -> bool:
+    """Whether, in both parts, an earlier search had found the share MIN_RECALL of each vector's (vec, pairs) of now."""
+    both = now.join(before.withColumnRenamed("pairs", "had"), "vec", "left").filter("pairs > 0")
+    share = F.least(F.coalesce(F.col("had"), F.lit(0)) / F.col("pairs"), F.lit(1.0))
+    parts = both.groupBy((F.col("pairs") <= FEW).alias("sparse")).agg(F.avg(share).alias("share"))
+    return all(r["share"] >= MIN_RECALL for r in parts.collect())
+
+
+def audited(own: DataFrame, means: np.ndarray, overlap: int, cosine: float) -> tuple[DataFrame, float | None]:
+    """Links at the first overlap that the audit, or for want of partners the search at half the overlap, bears out, and
+    the lower of the audit's two recalls (None where no query has a partner).
+    """
     truth = audit(own, cosine)
-    there, enough = sum(truth.values()), sum(n > 0 for n in truth.values()) >= EVIDENCE
+    enough = sum(0 < n <= FEW for n in truth.values()) >= EVIDENCE
     asked = own.sparkSession.createDataFrame([(x,) for x in truth], "vec long")
     before = None
     while True:
         links = search_links(own, means, overlap, cosine)
-        total = links.agg(F.sum("pairs")).first()[0] or 0
-        seen = links.join(asked, "vec", "left_semi").agg(F.sum("pairs")).first()[0] or 0
-        found = seen >= MIN_RECALL * there
-        steady = enough or before is not None and before >= MIN_RECALL * total
-        _LOG.info("overlap %d: %d of %d audited pairs, %d pairs in all", overlap, seen, there, total)
-        if found and steady or overlap >= len(means):
-            return links
-        before, overlap = total, overlap * 2
+        each = links.groupBy("vec").agg(F.sum("pairs").alias("pairs"))
+        seen = {r["vec"]: r["pairs"] for r in each.join(asked, "vec", "left_semi").collect()}
+        shares = recalls(truth, seen)
+        _LOG.info("overlap %d: recall %s of %d queries", overlap, shares, len(truth))
+        low = min(shares.values(), default=None)
+        if overlap >= len(means) or (low is None or low >= MIN_RECALL) and (enough or before is not None and _gained_little(before, each)):
+            return links, low
+        before, overlap = each, overlap * 2
+
+
+def audited_links(own: DataFrame, means: np.ndarray, overlap: int, cosine: float) -> DataFrame:
+    return audited(own, means, overlap, cosine)[0]
 
 
 def search_links(classes: DataFrame, means: np.ndarray, overlap: int, cosine: float) -> DataFrame:
@@ -332,8 +356,9 @@ def search_links(classes: DataFrame, means: np.ndarray, overlap: int, cosine: fl
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
-    """One row per row of ``vectors(vec_id, embedding)``: vec_id, n_links, component_id, kept, n_copies.
+    """One row per row of ``vectors(vec_id, embedding)``: vec_id, n_links, component_id, kept, n_copies, audit_recall.
 
+    ``audit_recall`` is what the audit measured for vectors of this length, NULL where no audited query has a partner.
     Vectors that are null, zero, or hold null or non-finite components link with nothing and name their own component.
     Vectors of another length than most are compared with those of their length only. Equal vectors are linked with each
     other. A null id is linked, and names a component only when all its ids are null. An empty table gives no rows.
@@ -348,7 +373,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) ->
     clash = classes.groupBy("vec").count().filter("count > 1")
     if not clash.isEmpty():
         raise ValueError("two vectors share a class id")
-    found = None
+    found, measured = None, {}
     for dim, n in sorted((r["dim"], r["count"]) for r in classes.groupBy("dim").count().collect()):
         own = classes.filter(F.col("dim") == dim).select("vec", "e", "times")
         own = stage(own.mapInArrow(_units, "vec long, times long, unit array<double>"), "units")
@@ -356,18 +381,22 @@ def link(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) ->
         drawn = own.filter(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("vec"))
         sample = np.array([r["unit"] for r in drawn.select("unit").limit(SAMPLE).collect()]).reshape(-1, dim)
         means = centroids(sample, -(-n // SHARD) if n > SHARD else 1)
-        links = audited_links(own, means, overlap, cosine)
+        links, low = audited(own, means, overlap, cosine)
+        measured[dim] = low
         found = links if found is None else found.union(links)
     if found is None:
         none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        return none.select("*", F.lit(True).alias("kept"), F.lit(1).cast("long").alias("n_copies"))
+        return none.select("*", F.lit(True).alias("kept"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("double").alias("audit_recall"))
     counts = found.groupBy("vec").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("root").alias("a"), F.col("vec").alias("b")))
     named = classes.join(counts, "vec", "left").join(groups, F.col("vec") == F.col("node"), "left")
-    named = stage(named.select("vec", "times", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "vec").alias("comp")), "named")
+    named = stage(named.select("vec", "dim", "times", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "vec").alias("comp")), "named")
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(names, "comp").select("vec", "times", "links", "component_id")
+    named = named.join(names, "comp").select("vec", "dim", "times", "links", "component_id")
     out = rows.select("vec_id", F.when(F.col("e").isNotNull(), F.xxhash64("e")).alias("vec")).join(named, "vec", "left")
+    recall = F.lit(None).cast("double")
+    for dim, low in measured.items():
+        recall = F.when(F.col("dim") == dim, F.lit(low).cast("double")).otherwise(recall)
     component = F.when(F.col("vec").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(
         "vec_id",
@@ -375,4 +404,5 @@ def link(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) ->
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
         F.coalesce("times", F.lit(1)).cast("long").alias("n_copies"),
+        recall.alias("audit_recall"),
     )
