@@ -1,6 +1,8 @@
 """Language identification with error-correcting output codes over byte n-grams.
 
-Each language has a codeword; the bits are columns of a Hadamard matrix, so any two codewords differ in half of them.
+Each language has a codeword. Up to five languages the bits are all ways to part them in two, and beyond that the columns
+of a Hadamard matrix, so any two codewords differ in about half of the bits: from four languages on in four bits at
+least, which corrects one wrong bit, and in more with more languages. Two or three languages have too few partings for that.
 For every bit one binary classifier, a multinomial naive Bayes on hashed byte trigrams inside words, tells languages
 whose bit is 1 from those whose bit is 0. All training rows are counted (no sample): Spark sums one vector of feature
 counts per language. Decoding adds up the logistic losses of the bits, each weighted by how well its classifier does on
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Hashed features; with the number of languages this bounds every model table.
 FEATURES = 1 << 15
+#: Languages up to which all partings are bits.
+EXHAUSTIVE = 5
 #: Bytes of text that one step works on.
 STEP_BYTES = 1 << 20
 #: A score below this is flagged.
@@ -32,9 +36,13 @@ _INSIDE[128:] = True
 
 
 def codewords(n: int) -> np.ndarray:
-    """n rows of +1/-1: a Hadamard matrix without its constant column."""
+    """n rows of +1/-1, any two of them far apart; no two columns part the languages alike."""
+    if 2 <= n <= EXHAUSTIVE:
+        # every parting once: the first language is always on the side of +1
+        sides = np.arange(1, 1 << (n - 1))
+        return np.array([np.ones(len(sides), int), *[1 - 2 * (sides >> i & 1) for i in range(n - 1)]])
     size = 2
-    while size < max(n, 4):
+    while size < n:
         size *= 2
     i, j = np.indices((size, size))
     ones = np.vectorize(lambda x: bin(x).count("1") & 1)(i & j)
