@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -101,12 +102,23 @@ def history(hours: DataFrame, value: str, late: int = LATE_HOURS, ttl_ms: int |
     return feed.groupBy("station_id").transformWithState(HourHistory(late, ttl_ms), HISTORY_OUTPUT, "update", mode)
 
 
+def united(first: np.ndarray, last: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans in order of time, made one where no more than ``limit`` lies between them."""
+    order = np.argsort(first)
+    first, last = first[order], np.maximum.accumulate(last[order])
+    starts = np.flatnonzero(np.append(True, first[1:] - last[:-1] > limit)[: len(first)])
+    return first[starts], last[np.append(starts[1:], len(first))[: len(starts)] - 1]
+
+
 class Silence(StatefulProcessor):
     """LIVE when a station speaks for the first time or after a silence, UNAVAILABLE when it has said nothing for ``limit`` microseconds.
 
     Rows wait until the watermark has passed them and are then taken in order of time, so neither lateness within the
     watermark nor the cut into micro-batches matters. A station has a timer for its next waiting row and one for the end of its patience; it is
     the other stations' rows that move the watermark past the timer of a silent one.
+
+    Rows wait as spans, first and last row of a time without silence, so the state grows with the silences and not with the rows. A span is
+    taken whole when the watermark has passed its first row: no silence can end or begin inside, whatever arrives later.
     """
 
     def __init__(self, limit_us: int):
@@ -114,38 +126,42 @@ class Silence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long")
+        self.waiting = handle.getListState("waiting", "first long, last long")
         self.last = handle.getValueState("last", "at long, live boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = sorted({r["at"] for r in rows})
-        if new:
-            self.waiting.appendList([(at,) for at in new])
-            self.handle.registerTimer(new[0] // 1000 + 1)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [united(at, at, self.limit) for at in (r["at"].to_numpy("int64") for r in rows)]
+        first, last = (x.tolist() for x in united(*(np.concatenate(x) for x in zip(*parts, strict=True)), self.limit))
+        self.waiting.appendList([*zip(first, last, strict=True)])
+        self.handle.registerTimer(first[0] // 1000 + 1)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         newest, live = self.last.get() if self.last.exists() else (None, False)
-        held = sorted({x[0] for x in self.waiting.get()}) if self.waiting.exists() else []
-        due, rest = [at for at in held if at <= now], [at for at in held if at > now]
-        was = newest, live
-        for at in [*due, None]:
-            if live and (now if at is None else at) > newest + self.limit:
+        held = np.array([*self.waiting.get()] if self.waiting.exists() else [], "int64").reshape(-1, 2)
+        held = [*zip(*(x.tolist() for x in united(held[:, 0], held[:, 1], self.limit)), strict=True)]
+        due, rest = [x for x in held if x[0] <= now], [x for x in held if x[0] > now]
+        was, said = (newest, live), []
+        for first, last in [*due, (now, None)]:
+            if live and first > newest + self.limit:
                 live = False
-                yield Row(station_id=key[0], since=_time(newest + self.limit), status="UNAVAILABLE")
-            if at is not None and (newest is None or at > newest):
+                said.append((newest + self.limit, "UNAVAILABLE"))
+            if last is not None and (newest is None or last > newest):
                 if not live:
-                    yield Row(station_id=key[0], since=_time(at), status="LIVE")
-                newest, live = at, True
+                    said.append((first, "LIVE"))
+                newest, live = last, True
         if due:
-            self.waiting.put([(at,) for at in rest]) if rest else self.waiting.clear()
+            self.waiting.put(rest) if rest else self.waiting.clear()
         if due and rest:
-            self.handle.registerTimer(rest[0] // 1000 + 1)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
         if (newest, live) != was:
             self.last.update((newest, live))
             if live:
                 self.handle.registerTimer((newest + self.limit) // 1000 + 1)
+        if said:
+            since, status = zip(*said, strict=True)
+            yield pd.DataFrame({"station_id": [key[0]] * len(said), "since": pd.to_datetime(since, unit="us", utc=True), "status": status})
 
     def close(self) -> None:
         pass
@@ -155,7 +171,7 @@ def silences(rows: DataFrame, ts: str, delay: str, limit_minutes: int = 180) ->
     """Changes of status of every station, told by event time; a station that never speaks has none."""
     rocksdb(rows.sparkSession)
     feed = rows.select("station_id", F.col(ts)).withWatermark(ts, delay).withColumn("at", F.unix_micros(ts))
-    return feed.groupBy("station_id").transformWithState(Silence(limit_minutes * 60_000_000), STATUS_OUTPUT, "append", "EventTime")
+    return feed.groupBy("station_id").transformWithStateInPandas(Silence(limit_minutes * 60_000_000), STATUS_OUTPUT, "append", "EventTime")
 
 
 def forecast_pairs(hours: DataFrame, model_hours: DataFrame, reach_hours: int, delay: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streams against batch: state over shuffled and late rows, timers, two streams, backfill of single parts."""
 
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -73,6 +73,23 @@ def test_a_silent_station_flips_by_its_timer(spark):
     assert got == sorted(want) and [q[2] for q in got if q[0] == "dark"] == ["LIVE", "UNAVAILABLE"]
 
 
+def test_waiting_rows_are_held_as_spans(spark):
+    talk = [("a", START + timedelta(seconds=i), 0) for i in range(900)] + [("a", START + timedelta(minutes=30, seconds=i), 0) for i in range(300)]
+    late = [("a", START + timedelta(minutes=20), 1), ("b", START + timedelta(minutes=70), 1)]
+    df = spark.createDataFrame(talk + late, "station_id string, t timestamp, n int")
+    source = feed.deliver(df, "talk", [F.col("n") == i for i in range(2)])
+    root = scratch_path(spark, "talk")
+    plan = state.silences(live.read_files(spark, source, df.schema, files=1), "t", "35 minutes", 12)
+    live._drain(plan, root, "append", None)
+    said = rows(spark.read.parquet(f"{root}/data").select("station_id", "since", "status"), "since")
+    # the late row fills the gap; the watermark ends at 35 minutes, when the station has not been silent for long enough
+    assert said == [("a", START, "LIVE")]
+    held = spark.read.format("statestore").option("stateVarName", "waiting").option("batchId", 0).load(f"{root}/checkpoint")
+    spans = [tuple(q) for q in rows(held.select("list_element.*"))]
+    micros = lambda minutes, seconds: int((START - datetime(1970, 1, 1)).total_seconds() + 60 * minutes + seconds) * 1_000_000
+    assert sorted(spans) == [(micros(0, 0), micros(0, 899)), (micros(30, 0), micros(30, 299))]
+
+
 def test_forecasts_that_come_late_meet_their_hours(spark, hour):
     hours = spark.createDataFrame([(s, hour(i), i // 20) for s in "ab" for i in range(60)], "station_id string, timestamp_utc timestamp, n int")
     model = [(s, hour(i), (i // 20 + (i % 4 == 0)) % 4) for s in "ab" for i in range(0, 64) if i % 7]
